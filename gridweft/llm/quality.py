@@ -112,10 +112,16 @@ class Model:
     w2: np.ndarray
     b2: float
     prior: float
+    #: Slope and intercept that turn outputs into probabilities.
+    slope: float = 1.0
+    intercept: float = 0.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def output(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((_expand(x) - self.mean) / self.scale, -8, 8)
-        return _sigmoid(np.maximum(z @ self.w1 + self.b1, 0) @ self.w2 + self.b2)
+        return np.maximum(z @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.slope * self.output(x) + self.intercept)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -169,6 +175,26 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return Model(mean, scale, *w[:3], float(w[3][0]), prior)
 
 
+def calibrate(model: Model, positive: np.ndarray, negative: np.ndarray, rounds: int = 50) -> None:
+    """Set slope and intercept by a logistic fit of labels on outputs, both classes weighing alike.
+
+    The order of the scores stays that of the positive-unlabelled fit; without rows of either
+    class nothing changes.
+    """
+    if not len(positive) or not len(negative):
+        return
+    g = np.concatenate([model.output(positive), model.output(negative)])
+    y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
+    weight = np.where(y == 1, 0.5 / len(positive), 0.5 / len(negative))
+    z, theta = np.stack([g, np.ones_like(g)], axis=1), np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = _sigmoid(z @ theta)
+        grad = z.T @ (weight * (p - y)) + 1e-3 * (theta - [1.0, 0.0])
+        theta = theta - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), grad)
+    if theta[0] > 0 and np.isfinite(theta).all():
+        model.slope, model.intercept = float(theta[0]), float(theta[1])
+
+
 def feature_rows(docs: DataFrame) -> DataFrame:
     """doc_id and features of every row, as one array."""
 
@@ -186,21 +212,25 @@ def _matrix(rows: DataFrame) -> np.ndarray:
     return np.asarray(found.flatten() if isinstance(found, pa.ListArray) else pa.concat_arrays([c.flatten() for c in found.chunks] or [pa.array([], pa.float32())]), dtype=float).reshape(-1, WIDTH)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: int = 12000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: int = 12000, rejected: int = 4000) -> Model:
     """Learn from trusted positives (label 1) and documents taken without their labels.
 
-    Both bounds hold for the rows whose features come to the driver; a hash of doc_id chooses
-    them. Labels 0 enter the estimate of the class prior alone, never the risk.
+    The bounds hold for the rows whose features come to the driver; a hash of doc_id chooses
+    them. Labels 0 enter the estimate of the class prior and the final calibration of the scores
+    alone, never the risk.
     """
     labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
     total = docs.count()
     trusted = bounded_sample(labels.where("quality = 1"), positives, n.get(1, 0)).select("doc_id")
-    # at most `positives` ids
-    p = _matrix(feature_rows(docs.join(F.broadcast(trusted), "doc_id", "left_semi")))
+    known = bounded_sample(labels.where("quality = 0"), rejected, n.get(0, 0)).select("doc_id")
+    # about `positives` and `rejected` ids at most
+    p, r = (_matrix(feature_rows(docs.join(F.broadcast(x), "doc_id", "left_semi"))) for x in (trusted, known))
     u = _matrix(feature_rows(bounded_sample(docs.withColumn("draw", F.col("doc_id") + F.lit(1_000_003)), unlabelled, total, "draw")))
-    return fit_risk(p, u, prior)
+    model = fit_risk(p, u, prior)
+    calibrate(model, p, r)
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:

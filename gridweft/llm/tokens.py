@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, scratch_path, table
+from gridweft.llm.textkit import ragged
 
 #: Texts in which a blank follows a blank are encoded whole, all others word by word.
 BLANK_PAIR = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}][\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -74,8 +75,7 @@ class Encoder:
         if len(direct):
             keep = ~whole[text_of_word]
             index, count, text_of_word = index[keep], count[keep], text_of_word[keep]
-        before = np.cumsum(count) - count
-        at = np.repeat(starts[index] - before, count) + np.arange(int(count.sum()))
+        at = ragged(starts[index], count)
         normal = np.ones(len(out), dtype=bool)
         if extra:
             out[offsets[1:] - 1] = end
