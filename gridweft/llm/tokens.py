@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,11 @@ from gridweft.llm.textkit import ragged
 #: Texts in which a blank follows a blank are encoded whole, all others word by word.
 BLANK_PAIR = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}][\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Bytes of text that are encoded together.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
+CALL_WORDS = 10_000
+CACHE_WORDS = 700_000
+#: Signs that the pre-tokenizer never joins to letters or digits before them.
+SIGNS = ".,;:!?&%$#*|)"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,12 +34,14 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Byte-level BPE with one library call for each distinct word of a group of texts.
+    """Byte-level BPE with one library call for each distinct word.
 
     The pre-tokenizer of byte-level BPE attaches a single space to the word that follows, so a
     text without two blanks in a row splits before each space into parts that are encoded
-    independently; the ids are those of the whole text. Texts with adjacent blanks go to the
-    library whole.
+    independently; the ids are those of the whole text. It also cuts signs from the letters or
+    digits before them, so a part's tail of signs is encoded on its own. Texts with adjacent
+    blanks go to the library whole. Words met before are looked up; past ``CACHE_WORDS`` of them
+    the memory starts anew, which changes no result.
     """
 
     def __init__(self, path: str):
@@ -41,50 +49,80 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.int32) for x in found]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for k in range(0, len(texts), CALL_WORDS):
+            out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + CALL_WORDS], add_special_tokens=False)]
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Give each word that isn't known yet a place in the pool."""
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        found = self.ids(new)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        starts = len(self.pool) + np.cumsum(counts) - counts
+        known.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))])
+        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of the texts in them)."""
         texts = texts.cast(pa.large_string()).fill_null("")
         whole = np.asarray(pc.match_substring_regex(texts, BLANK_PAIR))
-        parts = pc.split_pattern(texts, " ")
-        word_offsets = np.asarray(parts.offsets, dtype=np.int64)
-        flat = parts.flatten()
-        first = np.zeros(len(flat), dtype=bool)
-        first[word_offsets[:-1]] = True
-        # every part but a text's first begins with the space that was cut
-        spaced = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat, pa.scalar(" ", pa.large_string())))
-        coded = spaced.dictionary_encode()
-        vocabulary = self.ids(coded.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in vocabulary], dtype=np.int64)
-        pool = np.concatenate([*vocabulary, np.zeros(0, np.int32)])
-        starts = np.cumsum(lengths) - lengths
+        parts = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts), " ")
+        offsets = np.asarray(parts.offsets, dtype=np.int64)
+        coded = parts.flatten().dictionary_encode()
         index = np.asarray(coded.indices, dtype=np.int64)
-        count = lengths[index]
-        text_of_word = np.repeat(np.arange(len(texts)), np.diff(word_offsets))
-        extra = int(end is not None)
-        sizes = np.bincount(text_of_word, weights=count, minlength=len(texts)).astype(np.int64)
-        direct = dict(zip(np.flatnonzero(whole).tolist(), self.ids(texts.filter(pa.array(whole)).to_pylist()), strict=True))
-        for i, x in direct.items():
-            sizes[i] = len(x)
-        offsets = np.concatenate([[0], np.cumsum(sizes + extra)])
-        out = np.empty(offsets[-1], dtype=np.int32)
-        if len(direct):
-            keep = ~whole[text_of_word]
-            index, count, text_of_word = index[keep], count[keep], text_of_word[keep]
-        at = ragged(starts[index], count)
-        normal = np.ones(len(out), dtype=bool)
-        if extra:
-            out[offsets[1:] - 1] = end
-            normal[offsets[1:] - 1] = False
-        for i, x in direct.items():
-            out[offsets[i] : offsets[i] + len(x)] = x
-            normal[offsets[i] : offsets[i] + len(x)] = False
-        out[normal] = pool[at]
-        return out, offsets
+        # a text's first part has no space before it
+        n = len(coded.dictionary)
+        heads, head_index = np.unique(index[offsets[:-1]], return_inverse=True)
+        empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        listed = pa.concat_arrays([pc.binary_join_element_wise(space, coded.dictionary, empty), coded.dictionary.take(pa.array(heads))])
+        index[offsets[:-1]] = n + head_index
+        cores = pc.utf8_rtrim(listed, SIGNS)
+        split = np.asarray(pc.and_(pc.less(pc.binary_length(cores), pc.binary_length(listed)), pc.match_substring_regex(cores, r"[\p{L}\p{N}]$")))
+        words = pc.if_else(pa.array(split), cores, listed).dictionary_encode()
+        tails = pc.struct_field(pc.extract_regex(listed.filter(pa.array(split)), f"(?P<tail>[{re.escape(SIGNS)}]+)$"), "tail").cast(pa.large_string()).dictionary_encode()
+        word_list, tail_list = words.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        self.learn([*word_list, *tail_list])
+        get = self.known.__getitem__
+        place = np.fromiter(map(get, word_list), np.int64, len(word_list))[np.asarray(words.indices)]
+        tail = np.full(len(listed), -1, dtype=np.int64)
+        tail[split] = np.fromiter(map(get, tail_list), np.int64, len(tail_list))[np.asarray(tails.indices)]
+        # ids of each distinct part in a row, then those of whole texts and the end
+        extra = self.ids(texts.filter(pa.array(whole)).to_pylist()) + ([[end]] if end is not None else [])
+        tail_count = np.where(tail >= 0, self.counts[tail], 0)
+        runs = np.stack([self.starts[place], self.starts[tail]], axis=1).reshape(-1)
+        sizes = np.stack([self.counts[place], tail_count], axis=1).reshape(-1)
+        extra_count = np.fromiter(map(len, extra), np.int64, len(extra))
+        pool = np.concatenate([self.pool[ragged(runs, sizes)], np.fromiter(chain.from_iterable(extra), np.int32, int(extra_count.sum()))])
+        counts = np.concatenate([self.counts[place] + tail_count, extra_count])
+        starts = np.cumsum(counts) - counts
+        index[offsets[:-1][whole]] = len(listed) + np.arange(int(whole.sum()))
+        if end is not None:
+            index = np.insert(index, offsets[1:], len(starts) - 1)
+            offsets = offsets + np.arange(len(offsets))
+        upto = np.concatenate([[0], np.cumsum(counts[index])])
+        return pool[ragged(starts[index], counts[index])], upto[offsets]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder for each worker process, which later tasks find with the words it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def text_groups(batch: pa.RecordBatch, limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -101,7 +139,7 @@ def encoded(docs: DataFrame, path: str, end: int | None) -> DataFrame:
     """doc_id, start_in_part, n_tokens, tokens in the order of the input's partitions."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = Encoder(path), 0
+        encoder, start = encoder_for(path), 0
         for batch in batches:
             for group in text_groups(batch):
                 ids, offsets = encoder.encode(group.column("text"), end)
