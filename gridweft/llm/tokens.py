@@ -25,6 +25,19 @@ CALL_WORDS = 10_000
 CACHE_WORDS = 700_000
 #: Signs that the pre-tokenizer never joins to letters or digits before them.
 SIGNS = ".,;:!?&%$#*|)"
+#: A word of Latin letters, perhaps after a space.
+PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def _byte_level() -> dict[int, str]:
+    """Each character up to U+024F as the visible characters that stand for its bytes."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    stands = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(stands[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+BYTE_LEVEL = _byte_level()
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -61,13 +74,27 @@ class Encoder:
             out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + CALL_WORDS], add_special_tokens=False)]
         return out
 
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of single words; one of letters alone is a single pre-token and goes straight to the model."""
+        tokenize, plain = self.tokenizer.model.tokenize, PLAIN.fullmatch
+        out: list[list[int]] = [[]] * len(words)
+        rest = []
+        for k, w in enumerate(words):
+            if plain(w):
+                out[k] = [x.id for x in tokenize(w.translate(BYTE_LEVEL))]
+            else:
+                rest.append(k)
+        for k, x in zip(rest, self.ids([words[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
+
     def learn(self, words: list[str]) -> None:
         """Give each word that isn't known yet a place in the pool."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
-        found = self.ids(new)
+        found = self.word_ids(new)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.pool) + np.cumsum(counts) - counts
         known.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
