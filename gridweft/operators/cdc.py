@@ -168,9 +168,6 @@ def synced() -> Column:
     return F.col("sync_type").isin("two_ff", "three_ff")
 
 
-def single_source(ffs: DataFrame) -> Column:
-    return F.size("fanin") <= 1
-
 
 def next_register(ffs: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, next): of each register the first that it feeds alone, in its domain, without logic between."""

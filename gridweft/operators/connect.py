@@ -8,7 +8,6 @@ the columns of ``ISSUE``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
