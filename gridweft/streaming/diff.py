@@ -10,14 +10,14 @@ from gridweft.operators.connect import diff_connections
 
 
 def stream_diff(snapshots: DataFrame, baseline: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write added, removed and changed links of every micro-batch as Parquet, with its batch_id.
+    """Write added, removed and changed links of every micro-batch as Parquet, partitioned by batch_id.
 
     A batch is written to a folder of its own, so that a repeated one overwrites itself.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         found = diff_connections(baseline, batch.select("source", "dest", "status", "seq"))
-        found.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        found.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return snapshots.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
