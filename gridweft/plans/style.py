@@ -64,18 +64,18 @@ def files(spark, d):
     return v.check_files(rows, v.Rules(one_module_per_file=True, file_module_match=True))
 
 
-_HREF = "https?://[^\"'\\s>/]+"
+_HREF = 'href="/([A-Za-z]+)"'
 
 
 @query(
     "g6_module_reachability",
-    f"""WITH RECURSIVE m AS (SELECT page_id, regexp_extract(url, '{_HREF.replace("'", "''")}') AS src, unnest(regexp_extract_all(html, 'href="({_HREF.replace("'", "''")})', 1)) AS dst FROM pages),
+    f"""WITH RECURSIVE m AS (SELECT regexp_extract(url, '([a-z]+)\\.example', 1) AS src, lower(unnest(regexp_extract_all(html, '{_HREF}', 1))) AS dst FROM pages),
 e AS (SELECT DISTINCT src, dst FROM m WHERE src <> dst), top AS (SELECT min(src) AS top FROM e), walk(module, depth) AS (SELECT top, 0 FROM top UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.module WHERE depth < 60)
 SELECT module, min(depth)::INT AS depth FROM walk GROUP BY module""",
 )
 def reachability(spark, d):
     p = t(spark, d, "pages")
-    edges = p.select(F.regexp_extract("url", _HREF, 0).alias("parent"), F.explode(F.regexp_extract_all("html", F.lit(f'href="({_HREF})'), 1)).alias("child")).where("parent <> child").distinct()
+    edges = p.select(F.regexp_extract("url", r"([a-z]+)\.example", 1).alias("parent"), F.explode(F.regexp_extract_all("html", F.lit(_HREF), 1)).alias("child")).select("parent", F.lower("child").alias("child")).where("parent <> child").distinct()
     top = edges.agg(F.min("parent").alias("m")).first()["m"]
     return v.reachable_modules(edges, top or "")
 

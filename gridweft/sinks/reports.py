@@ -19,7 +19,7 @@ DEFAULT_PERIOD = "10.0"
 
 def json_lines(rows: DataFrame) -> DataFrame:
     """A JSON object for each row; < is escaped so that the text may stand in HTML."""
-    return rows.select(F.regexp_replace(F.to_json(F.struct(*rows.columns)), "<", "\\\\\\\\u003c").alias("line"))
+    return rows.select(F.regexp_replace(F.to_json(F.struct(*rows.columns)), "<", "\\\\u003c").alias("line"))
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
@@ -79,7 +79,7 @@ def dot_lines(connections: DataFrame, issues: DataFrame) -> DataFrame:
     worst = issues.where("source IS NOT NULL").groupBy(F.col("source").alias("source_path"), F.col("dest").alias("dest_path")).agg(F.min(rank).alias("rank"))
     pairs = connections.join(worst, ["source_path", "dest_path"], "left").groupBy("source_instance", "dest_instance").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
     colour = F.when(F.col("rank") == 0, _COLOURS["ERROR"]).when(F.col("rank") == 1, _COLOURS["WARN"]).when(F.col("rank") == 2, _COLOURS["INFO"]).otherwise("black")
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.col(c), '"', '\\\\\\\\"'), F.lit('"'))
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.col(c), '"', '\\\\"'), F.lit('"'))
     edge = F.concat(F.lit("  "), quoted("source_instance"), F.lit(" -> "), quoted("dest_instance"), F.format_string(' [label="%d", color=%s];', F.col("n"), colour))
     return _framed(pairs.select(edge.alias("line")), "digraph design {", "}")
 
