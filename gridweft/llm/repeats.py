@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,15 +68,46 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     return h[anchor], context, text[first], lo - offsets[text[first]], count
 
 
+def scattered(ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Ranks that deal rows evenly whose fate is known, so that they crowd no task."""
+    return mix(ids.astype(U64) * U64(0x9E3779B97F4A7C15) + lo.astype(U64))
+
+
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(rank, context, doc_id, lo, n, known) of all minimisers.
+
+    Of equal contexts within a chunk only the first has to meet those of other chunks; the others
+    are known to repeat it. A passage that recurs everywhere thus sends one row a chunk.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for a, _, raw, offsets in chunks(batch.column("text")):
                 rank, context, text, lo, count = anchors(raw, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[a + text]), pa.array(lo), pa.array(count)], names=["rank", "context", "doc_id", "lo", "n"])
-
-    return docs.mapInArrow(run, "rank long, context long, doc_id long, lo long, n long")
+                of = ids[a + text]
+                known = later(rank ^ mix(context), of, lo)
+                rank[known] = scattered(of[known], lo[known])
+                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(context.view(np.int64)), pa.array(of), pa.array(lo), pa.array(count), pa.array(known)], names=["rank", "context", "doc_id", "lo", "n", "known"])
+
+    return docs.mapInArrow(run, "rank long, context long, doc_id long, lo long, n long, known boolean")
+
+
+def later(key: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Whether the same key stands at an earlier (id, position)."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    same = k[1:] == k[:-1]
+    out = np.zeros(len(key), dtype=bool)
+    if same.any():
+        # sort only what is shared by position
+        shared = np.zeros(len(k), dtype=bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        rows = order[shared]
+        rows = rows[np.lexsort((lo[rows], ids[rows], key[rows]))]
+        out[rows[1:]] = key[rows[1:]] == key[rows[:-1]]
+    return out
 
 
 class _Sorted:
@@ -86,6 +118,9 @@ class _Sorted:
         self.held: pa.Table | None = None
 
     def settle(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        known = batch.column("known")
+        yield self.marked(pa.Table.from_batches([batch.filter(known)]).select(["doc_id", "lo", "n"]), 1)
+        batch = batch.filter(pc.invert(known))
         rank, context = batch.column("rank").to_numpy(), batch.column("context").to_numpy()
         new_rank, new_context = np.ones(len(rank), dtype=bool), np.ones(len(rank), dtype=bool)
         new_rank[1:] = rank[1:] != rank[:-1]
@@ -129,7 +164,7 @@ def settled(rows: DataFrame) -> DataFrame:
 
 
 def open_strings(texts: DataFrame, length: int) -> DataFrame:
-    """(rank, doc_id, lo) of the strings in the open ranges of texts (doc_id, text, los, ns)."""
+    """(rank, doc_id, lo, known) of the strings in the open ranges of texts (doc_id, text, los, ns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,17 +177,24 @@ def open_strings(texts: DataFrame, length: int) -> DataFrame:
                 at = ragged(lo + offsets[text], n)
                 rank = Rolling(raw).slices(at, at + length)
                 of = np.repeat(text, n)
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(ids[a + of]), pa.array(at - offsets[of])], names=["rank", "doc_id", "lo"])
+                of, lo = ids[a + of], at - offsets[of]
+                known = later(rank, of, lo)
+                rank[known] = scattered(of[known], lo[known])
+                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(of), pa.array(lo), pa.array(known)], names=["rank", "doc_id", "lo", "known"])
 
-    return texts.select("doc_id", "text", "los", "ns").mapInArrow(run, "rank long, doc_id long, lo long")
+    return texts.select("doc_id", "text", "los", "ns").mapInArrow(run, "rank long, doc_id long, lo long, known boolean")
 
 
 def later_of_rank(rows: DataFrame) -> DataFrame:
-    """(doc_id, lo, n): of the strings of each rank all but the first, neighbours joined."""
+    """(doc_id, lo, n): of the strings of each rank all but the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
+            known = batch.column("known")
+            done = batch.filter(known).select(["doc_id", "lo"])
+            yield done.append_column("n", pa.array(np.ones(done.num_rows, np.int64)))
+            batch = batch.filter(pc.invert(known))
             rank = batch.column("rank").to_numpy()
             if not len(rank):
                 continue
