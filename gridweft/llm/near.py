@@ -226,7 +226,7 @@ def block_rows(members: DataFrame) -> DataFrame:
     sides are cut into blocks of about BLOCK_ROWS; side 0 rows of block ``left`` meet side 1 rows
     of block ``right``, so that no piece grows with its cell.
     """
-    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("stray").alias("n_stray")).where("n_stray > 0 AND n_all > 1")
+    sizes = stored(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("stray").alias("n_stray")).where("n_stray > 0 AND n_all > 1"), "sizes")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), (blocks(n) - 1).cast("long"))
     rows = members.join(sizes, "cell").withColumn("h", F.xxhash64("rep"))
@@ -345,7 +345,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = lambda df, key: df.join(first.withColumnRenamed("id", key), key, "left")
     labelled = named(cells, "rep").withColumn("component", F.coalesce("component", "rep"))
     home = first.select(F.col("id").alias("cell"), F.col("component").alias("home"))
-    labelled = labelled.join(home, "cell", "left").withColumn("stray", F.col("component") != F.coalesce("home", "cell"))
+    # stored, so that sizes of cells are counted apart from the joins and a hot cell can be split
+    labelled = stored(labelled.join(home, "cell", "left").withColumn("stray", F.col("component") != F.coalesce("home", "cell")), "labelled")
     work = block_rows(labelled).join(sketches, "rep")
     hopeful = stored(promising(work, least), "promising")
     more = cross_links(hopeful.join(sets, "rep"), percent)
