@@ -45,14 +45,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     columns other than doc_id and text are ignored.
     """
     rows = fingerprints(docs)
-    by_length = rows.groupBy("n_bytes").count().where("count > 1").select("n_bytes")
-    same_length = rows.select("doc_id", "n_bytes", "prefix_hash").join(by_length, "n_bytes", "left_semi")
-    by_prefix = same_length.groupBy("n_bytes", "prefix_hash").count().where("count > 1").select("n_bytes", "prefix_hash")
+    # partial aggregates fold copies before anything is shuffled
+    prefixes = rows.groupBy("n_bytes", "prefix_hash").agg(F.count(F.lit(1)).alias("n"))
+    by_length = prefixes.groupBy("n_bytes").agg(F.sum("n").alias("n_length")).where("n_length > 1")
+    # stored, so that the join after a final aggregate has exchanges that can be split
+    by_prefix = stored(prefixes.join(by_length, "n_bytes", "left_semi").where("n > 1").select("n_bytes", "prefix_hash"), "prefixes")
     same_prefix = rows.join(by_prefix, ["n_bytes", "prefix_hash"], "left_semi")
-    groups = (
+    groups = stored(
         same_prefix.groupBy("n_bytes", "text_sha256")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
+        .where("group_size > 1"),
+        "groups",
     )
     found = rows.select("doc_id", "n_bytes", "text_sha256").join(groups, ["n_bytes", "text_sha256"], "left")
     keep = F.coalesce("keep_id", "doc_id")
