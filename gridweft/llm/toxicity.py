@@ -143,13 +143,26 @@ class Model:
 PRIOR_WEIGHTS = np.array([4.0, 1.0, 4.0, 0.5, 1.0, -2.5])
 
 
+def without_signs(raw: np.ndarray) -> np.ndarray:
+    """The bytes with general punctuation (U+2000 to U+207F) and Latin-1 signs as blanks."""
+    out = raw.copy()
+    wide = np.flatnonzero((raw[:-2] == 0xE2) & ((raw[1:-1] == 0x80) | (raw[1:-1] == 0x81)))
+    sign = np.flatnonzero(raw[:-1] == 0xC2)
+    for k in range(3):
+        out[wide + k] = 0x20
+    for k in range(2):
+        out[sign + k] = 0x20
+    return out
+
+
 def context_features(raw: np.ndarray, offsets: np.ndarray, automaton: Automaton, harmless: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features of each text, text of each misspelt match, its word's hash)."""
     n_texts = len(offsets) - 1
-    starts, ends, first = words(raw, offsets, NO_LETTER)
+    plain = without_signs(raw)
+    starts, ends, first = words(plain, offsets, NO_LETTER)
     out = np.zeros((n_texts, len(PRIOR_WEIGHTS)))
     out[:, -1] = 1
-    kind = automaton.match(raw, starts, ends)
+    kind = automaton.match(plain, starts, ends)
     hits = np.flatnonzero(kind)
     if not len(hits):
         return out, hits, np.zeros(0, np.uint64)
@@ -188,7 +201,7 @@ def _addressed(window: bytes) -> bool:
     return not _ADDRESS.isdisjoint(window.split())
 
 
-def mine(docs: DataFrame, support: int = 4, ratio: float = 20.0, share: float = 0.02, stem_lengths: tuple[int, int] = (4, 8)) -> tuple[list[str], list[str]]:
+def mine(docs: DataFrame, support: int = 5, ratio: float = 20.0, share: float = 0.02, stem_lengths: tuple[int, int] = (4, 8)) -> tuple[list[str], list[str]]:
     """(words, stems) that toxic documents use far more often than clean ones do.
 
     docs has text and toxic. A term must be in ``support`` toxic documents and in one of a hundred
