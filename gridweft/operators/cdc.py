@@ -226,7 +226,7 @@ def verify_resets(rows: DataFrame, ffs: DataFrame) -> DataFrame:
     """Phase 4, Ac_cdc06: an asynchronous reset from a register of another domain, not synchronized there.
 
     The register is found by the reset's path, else by its leaf name (the first by seq). A crossing
-    of the pair is rewritten (the last one, as the reference keeps); a missing one is added.
+    of the pair is rewritten (the last of several); a missing one is added.
     """
     dom = domain_name(F.col("source_id"), F.col("edge"))
     users = ffs.where("reset_async AND reset_path IS NOT NULL AND source_id IS NOT NULL").select(F.col("hier_path").alias("user"), dom.alias("user_domain"), "reset_path")
