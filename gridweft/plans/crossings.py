@@ -181,3 +181,8 @@ def auto_clocks(spark, d):
     n = F.expr("CASE p_size % 4 WHEN 0 THEN concat('clk_', p_size) WHEN 1 THEN concat('rst_clk_', p_size) WHEN 2 THEN concat('sys_ck', p_size) ELSE 'clock' END")
     ports = t(spark, d, "part").select(n.alias("port_name"), F.lit(True).alias("is_top"), F.lit("In").alias("direction")).distinct()
     return cdc.auto_clocks(ports, spark.createDataFrame([("clk_8",)], "origin_signal string")).select("source_id", "name")
+
+
+@query("ks2_sva_lines", f"{_HEAD}, n AS (SELECT *, category || '-' || row_number() OVER (PARTITION BY category ORDER BY src_path, dst_path) AS id FROM cx) SELECT id, 'property p_' || replace(id, '-', '_') || '; @(posedge ' || dst_dom || ') $stable(' || src_path || '); endproperty' AS line FROM n WHERE category IN ('VIOLATION', 'CAUTION')")
+def sva_lines(spark, d):
+    return reports.sva_lines(cdc.numbered(_detected(spark, d)))
