@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweft.functions import names
 from gridweft.operators import cdc, clocks, connect
-from gridweft.operators.graph import cut
+from gridweft.operators.graph import cut, follow
 
 MAX_LEVELS = 64
 
@@ -85,9 +85,9 @@ def net_aliases(assigned: DataFrame) -> DataFrame:
 
 
 def registers(statements: DataFrame, instances: DataFrame) -> DataFrame:
-    """Registers with the name of their clock; their source is found by ``clock_domains``."""
+    """Registers with their clock's name and net; their source is found by ``clock_domains``."""
     scope = F.col("path")
-    return _of(statements, "register", instances).select(names.full_path(scope, F.col("name")).alias("hier_path"), F.coalesce("edge", F.lit("pos")).alias("edge"), F.coalesce("width", F.lit(1)).alias("width"), F.col("refs").alias("fanin"), F.when(F.col("reset").isNotNull(), names.full_path(scope, F.col("reset"))).alias("reset_path"), F.col("reset").isNotNull().alias("reset_async"), "clock", "seq")
+    return _of(statements, "register", instances).select(names.full_path(scope, F.col("name")).alias("hier_path"), F.coalesce("edge", F.lit("pos")).alias("edge"), F.coalesce("width", F.lit(1)).alias("width"), F.col("refs").alias("fanin"), F.when(F.col("reset").isNotNull(), names.full_path(scope, F.col("reset"))).alias("reset_path"), F.col("reset").isNotNull().alias("reset_async"), "clock", names.full_path(scope, F.col("clock")).alias("clock_net"), "seq")
 
 
 def port_map(statements: DataFrame, instances: DataFrame, found: DataFrame) -> DataFrame:
@@ -96,6 +96,18 @@ def port_map(statements: DataFrame, instances: DataFrame, found: DataFrame) -> D
     return rows.select(names.full_path(F.col("parent"), F.regexp_replace(F.col("refs")[0], r"\[[^\[\].]*\]$", "")).alias("parent_net"), F.col("full_path").alias("child_net"), "direction")
 
 
+def clock_domains(ffs: DataFrame, sources: DataFrame, nets: DataFrame, pins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registers with their source, all sources): a clock that nothing defines is a source of its own.
+
+    It is the net at the upper end of the ports that lead to the register's scope.
+    """
+    found = cut(cdc.register_domains(ffs, sources, nets))
+    up = follow(pins.where("direction <> 'Out'").groupBy(F.col("child_net").alias("node")).agg(F.min("parent_net").alias("next")).unionByName(pins.select(F.col("parent_net").alias("node")).distinct().join(pins.select(F.col("child_net").alias("node")), "node", "left_anti").select("node", F.lit(None).cast("string").alias("next"))))
+    found = found.join(up.select(F.col("node").alias("clock_net"), "root"), "clock_net", "left").withColumn("own", F.coalesce("root", "clock_net"))
+    new = found.where("source_id IS NULL").select(F.concat(F.lit("net_"), "own").alias("source_id"), F.col("own").alias("name"), F.lit("AutoDetected").alias("type"), F.col("own").alias("origin_signal"), F.lit(None).cast("string").alias("master_id"), F.lit(None).cast("double").alias("period_ns"), F.lit(1).alias("seq")).distinct()
+    return found.withColumn("source_id", F.coalesce("source_id", F.concat(F.lit("net_"), "own"))).drop("clock_net", "root", "own"), sources.unionByName(new, allowMissingColumns=True)
+
+
 def crossings(statements: DataFrame, top: str, constraints: DataFrame | None = None, stages: int = 2) -> DataFrame:
     """All verified crossings of a design, from its source's facts; constraints are clock sources that are known."""
     tree = instance_tree(statements, top)
@@ -107,7 +119,7 @@ def crossings(statements: DataFrame, top: str, constraints: DataFrame | None = N
     sources = cut(sources.withColumn("seq", F.lit(0)))
     seeds = sources.select("source_id", F.concat_ws(".", F.lit(top), F.col("origin_signal")).alias("hier_path"))
     nets = cdc.propagate_clocks(seeds, pins.where("direction <> 'Out'"))
-    ffs = cut(cdc.register_domains(registers(statements, tree), sources, nets))
+    ffs, sources = map(cut, clock_domains(registers(statements, tree), sources, nets, pins))
     through = pins.where("direction <> 'Out'").select(F.col("child_net").alias("lhs"), F.array("parent_net").alias("rhs")).unionAll(pins.where("direction <> 'In'").select(F.col("parent_net").alias("lhs"), F.array("child_net").alias("rhs")))
     hops = assigns(statements, tree).unionByName(through.select("*", F.lit("alias").alias("op"), F.lit("port").alias("kind"), F.lit(0).alias("seq")))
     edges = cut(clocks.register_edges(ffs, hops).withColumn("seq", F.lit(0)))

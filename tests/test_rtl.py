@@ -84,6 +84,13 @@ def test_types_that_stand_in_place():
     assert rows[-1]["refs"] == ["now"]
 
 
+def test_unnamed_clocks_and_names_through_instances(spark):
+    text = """module low (input c, d); for (genvar i = 0; i < 2; i = i + 1) begin : g logic r; always_ff @(posedge c) r <= d; end endmodule
+module high (input tick, tock, d); logic s; low u (.c(tick), .d(d)); always_ff @(posedge tock) s <= u.g[1 - 1].r; endmodule"""
+    facts = rtl.statements(spark.createDataFrame([("x", text)], "file string, text string"))
+    assert [(r.source_signal, r.dest_signal, r.category, r.source_domain, r.dest_domain) for r in elaborate.crossings(facts, "high").collect()] == [("high.u.g[0].r", "high.s", "VIOLATION", "net_high.tick:pos", "net_high.tock:pos")]
+
+
 def test_a_module_in_itself_ends(spark):
     facts = rtl.statements(spark.createDataFrame([("x", "module a; a u (); endmodule")], "file string, text string"))
     assert elaborate.instance_tree(facts, "a", 2).count() == 3
