@@ -33,7 +33,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarra
     starts, ends, first = words(raw, offsets)
     h = Rolling(raw).slices(starts, ends)
     rolled = h.copy()
-    for j in range(1, width):
+    for j in range(1, min(width, len(h))):
         rolled[: len(h) - j] = mix(rolled[: len(h) - j] * U64(3) + h[j:])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

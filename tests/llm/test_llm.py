@@ -107,6 +107,15 @@ def test_near(spark, awkward, nothing, width):
     assert near.without_near_copies(awkward).columns == awkward.columns
 
 
+def test_shingles_of_a_chunk_of_few_words():
+    """A chunk that holds one short text: its set is the one it has among long texts."""
+    for width, n in product((4, 5), (1, 2, 3, 4, 5, 6)):
+        text, rest = " ".join("abcdef"[:n]).encode(), b"some other text of more than five words"
+        alone = near.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]), width)
+        both = near.shingles(np.frombuffer(text + rest, np.uint8), np.array([0, len(text), len(text + rest)]), width)
+        assert len(alone) == 1 and len(alone[0]) == max(1, n - width + 1) and (alone[0] == both[0]).all(), (width, n)
+
+
 def test_near_in_small_blocks(spark, monkeypatch):
     """A hot group whose members mostly aren't linked with its pivot, in blocks of three rows."""
     monkeypatch.setattr(near, "BLOCK_ROWS", 3)
