@@ -29,6 +29,9 @@ from gridweft.llm.textkit import U64, Rolling, chunks, mix, ragged
 
 LENGTH = 100
 GRAM = 32
+#: Rows of null doc_id come after all others: the last id, and a bit that no other row number has.
+LAST_ID = (1 << 63) - 1
+NULL_ROW = 1 << 62
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -68,13 +71,27 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     return h[anchor], context, text[first], lo - offsets[text[first]], count
 
 
-def scattered(ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(id, row, text) of every row, ordered by (id, row) as by doc_id; and the column that names a row.
+
+    Where doc_id is unique, it is the name and ``row`` is 0. Otherwise the texts are stored with a
+    number of each row, so that rows that share a doc_id stay apart; rows of null doc_id are last.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), clear_text().alias("text"))
+    if texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return texts.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("row"), "text"), "id"
+    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    row = F.when(F.col("doc_id").isNull(), F.col("row").bitwiseOR(F.lit(NULL_ROW))).otherwise(F.col("row"))
+    return texts.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), row.alias("row"), "text"), "row"
+
+
+def scattered(ids: np.ndarray, rows: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Ranks that deal rows evenly whose fate is known, so that they crowd no task."""
-    return mix(ids.astype(U64) * U64(0x9E3779B97F4A7C15) + lo.astype(U64))
+    return mix(mix(ids.astype(U64) + mix(rows)) * U64(0x9E3779B97F4A7C15) + lo.astype(U64))
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(rank, context, doc_id, lo, n, known) of all minimisers.
+def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(rank, context, id, row, lo, n, known) of all minimisers.
 
     Of equal contexts within a chunk only the first has to meet those of other chunks; the others
     are known to repeat it. A passage that recurs everywhere thus sends one row a chunk.
@@ -82,19 +99,19 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
+            ids, rows = (batch.column(c).to_numpy() for c in ("id", "row"))
             for a, _, raw, offsets in chunks(batch.column("text")):
                 rank, context, text, lo, count = anchors(raw, offsets, length, gram)
-                of = ids[a + text]
-                known = later(rank ^ mix(context), of, lo)
-                rank[known] = scattered(of[known], lo[known])
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(context.view(np.int64)), pa.array(of), pa.array(lo), pa.array(count), pa.array(known)], names=["rank", "context", "doc_id", "lo", "n", "known"])
+                of, row = ids[a + text], rows[a + text]
+                known = later(rank ^ mix(context), of, row, lo)
+                rank[known] = scattered(of[known], row[known], lo[known])
+                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(context.view(np.int64)), pa.array(of), pa.array(row), pa.array(lo), pa.array(count), pa.array(known)], names=["rank", "context", "id", "row", "lo", "n", "known"])
 
-    return docs.mapInArrow(run, "rank long, context long, doc_id long, lo long, n long, known boolean")
+    return texts.select("id", "row", "text").mapInArrow(run, "rank long, context long, id long, row long, lo long, n long, known boolean")
 
 
-def later(key: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Whether the same key stands at an earlier (id, position)."""
+def later(key: np.ndarray, ids: np.ndarray, numbers: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Whether the same key stands at an earlier (id, row, position)."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = k[1:] == k[:-1]
@@ -105,7 +122,7 @@ def later(key: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
         shared[1:] |= same
         shared[:-1] |= same
         rows = order[shared]
-        rows = rows[np.lexsort((lo[rows], ids[rows], key[rows]))]
+        rows = rows[np.lexsort((lo[rows], numbers[rows], ids[rows], key[rows]))]
         out[rows[1:]] = key[rows[1:]] == key[rows[:-1]]
     return out
 
@@ -119,7 +136,7 @@ class _Sorted:
 
     def settle(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
         known = batch.column("known")
-        yield self.marked(pa.Table.from_batches([batch.filter(known)]).select(["doc_id", "lo", "n"]), 1)
+        yield self.marked(pa.Table.from_batches([batch.filter(known)]).select(["id", "row", "lo", "n"]), 1)
         batch = batch.filter(pc.invert(known))
         rank, context = batch.column("rank").to_numpy(), batch.column("context").to_numpy()
         new_rank, new_context = np.ones(len(rank), dtype=bool), np.ones(len(rank), dtype=bool)
@@ -128,7 +145,7 @@ class _Sorted:
         if self.rank is not None and len(rank):
             new_rank[0] = rank[0] != self.rank
             new_context[0] = new_rank[0] or context[0] != self.context
-        rows = pa.Table.from_batches([batch]).select(["doc_id", "lo", "n"])
+        rows = pa.Table.from_batches([batch]).select(["id", "row", "lo", "n"])
         again, other = ~new_context, new_context & ~new_rank
         run = np.cumsum(new_rank)
         shared = np.zeros(run[-1] + 1 if len(run) else 1, dtype=bool)
@@ -150,7 +167,7 @@ class _Sorted:
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """(doc_id, lo, n, kind) of minimisers of shared rank: 1 repeats a context, 2 is open."""
+    """(id, row, lo, n, kind) of minimisers of shared rank: 1 repeats a context, 2 is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = _Sorted()
@@ -160,16 +177,17 @@ def settled(rows: DataFrame) -> DataFrame:
                     yield from part.combine_chunks().to_batches()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "context", "doc_id", "lo").mapInArrow(run, "doc_id long, lo long, n long, kind int")
+    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "context", "id", "row", "lo").mapInArrow(run, "id long, row long, lo long, n long, kind int")
 
 
 def open_strings(texts: DataFrame, length: int) -> DataFrame:
-    """(rank, doc_id, lo, known) of the strings in the open ranges of texts (doc_id, text, los, ns)."""
+    """(rank, id, row, lo, known) of the strings in the open ranges of texts (id, row, text, los, ns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("los").is_valid())
-            ids, los, ns = batch.column("doc_id").to_numpy(), batch.column("los"), batch.column("ns")
+            ids, rows = (batch.column(c).to_numpy() for c in ("id", "row"))
+            los, ns = batch.column("los"), batch.column("ns")
             for a, b, raw, offsets in chunks(batch.column("text")):
                 lo_lists, n_lists = los.slice(a, b - a), ns.slice(a, b - a)
                 lo, n = np.asarray(lo_lists.flatten()), np.asarray(n_lists.flatten())
@@ -177,22 +195,22 @@ def open_strings(texts: DataFrame, length: int) -> DataFrame:
                 at = ragged(lo + offsets[text], n)
                 rank = Rolling(raw).slices(at, at + length)
                 of = np.repeat(text, n)
-                of, lo = ids[a + of], at - offsets[of]
-                known = later(rank, of, lo)
-                rank[known] = scattered(of[known], lo[known])
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(of), pa.array(lo), pa.array(known)], names=["rank", "doc_id", "lo", "known"])
+                of, row, lo = ids[a + of], rows[a + of], at - offsets[of]
+                known = later(rank, of, row, lo)
+                rank[known] = scattered(of[known], row[known], lo[known])
+                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(of), pa.array(row), pa.array(lo), pa.array(known)], names=["rank", "id", "row", "lo", "known"])
 
-    return texts.select("doc_id", "text", "los", "ns").mapInArrow(run, "rank long, doc_id long, lo long, known boolean")
+    return texts.select("id", "row", "text", "los", "ns").mapInArrow(run, "rank long, id long, row long, lo long, known boolean")
 
 
 def later_of_rank(rows: DataFrame) -> DataFrame:
-    """(doc_id, lo, n): of the strings of each rank all but the first."""
+    """(id, row, lo, n): of the strings of each rank all but the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             known = batch.column("known")
-            done = batch.filter(known).select(["doc_id", "lo"])
+            done = batch.filter(known).select(["id", "row", "lo"])
             yield done.append_column("n", pa.array(np.ones(done.num_rows, np.int64)))
             batch = batch.filter(pc.invert(known))
             rank = batch.column("rank").to_numpy()
@@ -202,11 +220,11 @@ def later_of_rank(rows: DataFrame) -> DataFrame:
             again[1:] = rank[1:] == rank[:-1]
             again[0] = last is not None and rank[0] == last
             last = rank[-1]
-            found = batch.select(["doc_id", "lo"]).filter(pa.array(again))
+            found = batch.select(["id", "row", "lo"]).filter(pa.array(again))
             yield found.append_column("n", pa.array(np.ones(found.num_rows, np.int64)))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "doc_id", "lo").mapInArrow(run, "doc_id long, lo long, n long")
+    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "id", "row", "lo").mapInArrow(run, "id long, row long, lo long, n long")
 
 
 def _removed(size: int, lo: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -217,7 +235,7 @@ def _removed(size: int, lo: np.ndarray, n: np.ndarray, length: int) -> np.ndarra
 
 
 def trimmed(texts: DataFrame, length: int, keep_text: bool) -> DataFrame:
-    """Cut the strings that texts (doc_id, text, los, ns) list: sizes, spans, hash and, if asked, what is left."""
+    """Cut the strings that texts (id, row, text, los, ns) list: sizes, spans, hash and, if asked, what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,27 +255,28 @@ def trimmed(texts: DataFrame, length: int, keep_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns[: len(names) - (not keep_text)], names=names[: len(names) - (not keep_text)])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * keep_text
-    return texts.select("doc_id", "text", "los", "ns").mapInArrow(run, schema)
+    doc_id = F.when(F.col("row") < NULL_ROW, F.col("id"))
+    return texts.select(doc_id.alias("doc_id"), "text", "los", "ns").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes).
 
-    Every byte under a string of ``length`` bytes that also starts earlier (a smaller doc_id, or
-    earlier in the same text) is removed; strings are taken from the input as it is and never
-    cross texts. Null texts are empty; texts shorter than ``length`` stay. Bytes are cut, so what
-    is left need not be valid UTF-8. doc_id must not be null and identifies a text: rows that
-    repeat it are taken for the same text, and each is cut by the repeats found in all of them.
+    Every byte under a string of ``length`` bytes that also starts earlier (a smaller doc_id, an
+    earlier row of the same doc_id, or earlier in the same text) is removed; strings are taken from
+    the input as it is and never cross texts. Null texts are empty; texts shorter than ``length``
+    stay. Bytes are cut, so what is left need not be valid UTF-8. Rows that repeat a doc_id are texts of their own, in the order
+    in which Spark numbers the rows; rows of null doc_id come last, in that order too.
     """
     gram = max(1, min(GRAM, length // 2))
-    texts = docs.select(F.col("doc_id").cast("long"), clear_text().alias("text"))
+    texts, key = numbered(docs)
     ranked = stored(settled(anchor_rows(texts, length, gram)), "repeats")
-    lists = lambda df: df.groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
+    lists = lambda df: df.groupBy(key).agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
     # the same left join twice, so that one exchange of the texts serves both
-    unsettled = lists(ranked.where("kind = 2").select("doc_id", "lo", "n"))
-    later = later_of_rank(open_strings(texts.join(unsettled, "doc_id", "left"), length))
-    gone = lists(ranked.where("kind = 1").select("doc_id", "lo", "n").unionAll(later))
-    return trimmed(texts.join(gone, "doc_id", "left"), length, keep_text)
+    unsettled = lists(ranked.where("kind = 2").select("id", "row", "lo", "n"))
+    later = later_of_rank(open_strings(texts.join(unsettled, key, "left"), length))
+    gone = lists(ranked.where("kind = 1").select("id", "row", "lo", "n").unionAll(later))
+    return trimmed(texts.join(gone, key, "left"), length, keep_text)
 
 
 def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,22 @@ def test_repeats(spark, nothing, monkeypatch):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_of_shared_and_null_ids(spark):
+    """The first of the rows that hold a passage keeps it, whatever ids they share."""
+    rng = np.random.default_rng(8)
+    a, b, c, d = ("".join(rng.choice(list("abcdefgh"), n)) for n in (300, 400, 700, 250))
+    rows = [(7, a), (7, a), (7, b), (7, b + c), (8, "x" + c), (9, d), (2**63 - 1, d + "é"), (None, d), (None, c + a), (None, c + a), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(map(tuple, repeats.remove_repeats(df).collect()), key=str)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    want = repeats_truth([(at, rows[k][1] or "") for at, k in enumerate(order)], 100)
+    assert got == sorted(((rows[order[k]][0], *rest) for k, *rest in want), key=str)
+    assert [r.n_removed for r in repeats.remove_repeats(df.limit(2)).collect()] in ([0, 300], [300, 0])
+    # more partitions: which of equal rows comes first is open, but one of them keeps its text
+    spread = repeats.remove_repeats(spark.createDataFrame([(k % 3 or None, a) for k in range(12)], "doc_id long, text string").repartition(4))
+    assert sorted(r.n_removed for r in spread.collect()) == [0] + [300] * 11
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)]) for k in range(300)]
