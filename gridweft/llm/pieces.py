@@ -284,7 +284,7 @@ class Encoder:
         order = np.lexsort((gap[index], text_of))
         best = []
         for k in range(len(texts)):
-            least = order[text_first[k] : text_first[k] + self.n - 1]
+            least = order[text_first[k] : min(text_first[k] + self.n - 1, text_first[k + 1])]
             chosen = [index[w] for w in least if np.isfinite(gap[index[w]])]
             best.append(combined(float(base[k]), [self.alternatives(words[w]) for w in chosen], self.n))
         return out, offsets, best

@@ -267,6 +267,17 @@ def test_pieces(spark, awkward, nothing):
     assert e.encode(pa.array(["in the end"]))[2][0] == want
 
 
+def test_best_scores_of_short_texts_among_others():
+    """The n best of each text by full enumeration of its own words, whatever texts follow."""
+    texts = ["in", "in the end", "", None, "the", "a b", "end of the day", ""]
+    e = pieces.Encoder(tokens.vocabulary_path("piece_bpe_32k.model"), 4)
+    for order in (texts, texts[::-1]):
+        for x, got in zip(order, e.encode(pa.array(order, pa.string()))[2], strict=True):
+            lists = [[s for s, _ in all_segmentations(e.pieces, f"▁{w}".encode())] for w in (x or "").split(" ")]
+            want = sorted((sum(s) for s in product(*lists)), reverse=True)[:4]
+            assert got == pytest.approx(want), x
+
+
 def test_automaton_equals_edit_distance():
     terms, stems = ["idiot", "clown", "scum"], ["vequ"]
     a = toxicity.Automaton(terms, stems)
