@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridweft.llm.common import scratch_path, table
 from gridweft.llm.exact import without_copies
-from gridweft.llm.mixing import DEFAULT_WEIGHT, WEIGHTS, mixed
+from gridweft.llm.mixing import DEFAULT_WEIGHT, WEIGHTS, mixed, placed
 from gridweft.llm.near import without_near_copies
 from gridweft.llm.pieces import encode_documents
 from gridweft.llm.quality import learned, score
@@ -33,8 +33,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document's best segmentation, with the scores of the best few."""
-    return encode_documents(docs, ids=True)
+    """Piece ids of each document's best segmentation, the scores of the best few, its place in the mixture.
+
+    Files are read in no order, so the places (mix_slot, mix_position) are worked out again: they
+    depend on the rows alone, which are those that the mixture had.
+    """
+    return encode_documents(placed(docs, WEIGHTS, DEFAULT_WEIGHT), ids=True, keep=("mix_slot", "mix_position"))
 
 
 STAGES = [

@@ -102,11 +102,21 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_doc
     return out.select("doc_id", "source", "block", slot.alias("slot"), "position")
 
 
+def placed(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All documents with their columns and their place in the mixture: mix_slot, mix_position.
+
+    Rows that repeat a doc_id within a source share the first of their places.
+    """
+    place = F.min(F.struct(F.col("slot").alias("mix_slot"), F.col("position").alias("mix_position"))).alias("place")
+    plan = mix(docs, weights, default, block_docs).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source")).agg(place)
+    both = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")), "left")
+    return both.select(*[both[c] for c in docs.columns], "place.mix_slot", "place.mix_position")
+
+
 def mixed(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All documents with their columns, partitioned and sorted in the order of the mixture."""
-    plan = mix(docs, weights, default, block_docs).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("slot").alias("mix_slot"), F.col("position").alias("mix_position")).dropDuplicates(["mix_id", "mix_source"])
-    both = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    return both.repartitionByRange("mix_slot", "mix_position").sortWithinPartitions("mix_slot", "mix_position").select(*[both[c] for c in docs.columns])
+    both = placed(docs, weights, default, block_docs)
+    return both.repartitionByRange("mix_slot", "mix_position").sortWithinPartitions("mix_slot", "mix_position").drop("mix_slot", "mix_position")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -296,13 +296,14 @@ def escape(word: str) -> bytes:
     return MARK * blanks + word[blanks:].encode().replace(MARK, PLAIN_MARK)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, n: int = N_BEST, ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, n: int = N_BEST, ids: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, best_scores and round_trip of every whole text.
 
     best_scores are those of the ``n`` best segmentations (fewer, if there are fewer), best first,
     under the sum of the model's piece scores; ids are those of the best one. round_trip says
     whether decoding these ids gives the text byte by byte. A null text is an empty one: its only
-    piece is the blank that precedes every text. With ``ids`` the ids are returned too.
+    piece is the blank that precedes every text. With ``ids`` the ids are returned too, and the columns
+    of docs in ``keep`` follow as they are.
     """
     path = path or vocabulary_path("piece_bpe_32k.model")
 
@@ -321,10 +322,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, n: int = N_BEST,
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.astype(np.int32))))
                     names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *(group.column(c) for c in keep)], names=[*names, *keep])
 
-    schema = "doc_id long, n_pieces long, ids_crc32 long, best_scores array<double>, round_trip boolean" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, n_pieces long, ids_crc32 long, best_scores array<double>, round_trip boolean" + ", ids array<int>" * ids + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text"), *keep).mapInArrow(run, schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,3 +358,22 @@ def test_pipeline(spark):
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[3] == sizes[2]
     assert corpus_pipeline.run(spark, DATA).count() == sizes[-1]
+
+
+def test_weights_place_the_pipelines_rows(spark, monkeypatch, tmp_path):
+    """The last two stages, with files between them: rows by (slot, position) take turns by weight."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, f"text {k}", "en", f"src{k % 3}", 6) for k in range(240)], "doc_id long, text string, lang string, source string, n_chars int").repartition(5)
+    orders = []
+    for i, weights in enumerate(({"src0": 3, "src1": 1, "src2": 1}, {"src0": 1, "src1": 1, "src2": 4})):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        corpus_pipeline.mixture(spark, docs, DATA).write.parquet(str(tmp_path / str(i)))
+        rows = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / str(i))), DATA).collect()
+        rows.sort(key=lambda r: (r.mix_slot, r.mix_position))
+        turn = {t: s for s, slots in enumerate(mixing.pfair_period([weights[f"src{s}"] for s in range(3)])) for t in slots}
+        assert [r.doc_id % 3 for r in rows] == [turn[r.mix_slot % sum(weights.values())] for r in rows]
+        shuffled = [sorted((k for k in range(240) if k % 3 == s), key=lambda k: hashlib.md5(f"mix{k}".encode()).hexdigest()) for s in range(3)]
+        assert all([r.doc_id for r in rows if r.doc_id % 3 == s] == shuffled[s] for s in range(3))
+        orders.append([(r.mix_slot, r.mix_position, r.doc_id) for r in rows])
+    assert orders[0] != orders[1] and len(orders[0]) == len({x[:2] for x in orders[0]}) == 240
