@@ -298,6 +298,34 @@ def test_automaton_equals_edit_distance():
         assert a.match(raw, np.array([0]), np.array([len(raw)]))[0] == want, w
 
 
+def test_misspellings_by_characters():
+    """One wrong character of any kind, in any place; signs between words part them as before."""
+    m = toxicity.Model(["idiot", "stupid", "réeux"], [])
+    near = ["id1ot", "st*pid", "idiöt", "idiоt", "іdіоt", "reeux", "réeu", "id-iot", "1diot", "ídïót", "rééux", "stüpïdd"]
+    far = ["id 1ot", "st**pid", "st pid", "id\niot", "xx1ot", "日本語"]
+    same = ["idiot", "idiot-stupid", "l'idiot", "idiot…", "(stupid)", "réeux2"]
+    texts = [x.encode() for x in near + far + same]
+    x, text, _ = toxicity.context_features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), m.automaton(), m.harmless)
+    kind = ["exact" if r[0] else "near" if r[2] else "none" for r in x]
+    assert kind == ["near"] * len(near) + ["none"] * len(far) + ["exact"] * len(same)
+    assert text.tolist() == list(range(len(near)))
+
+
+def test_lexicon_is_not_cut(spark):
+    """More than 200 terms, each in less than a hundredth of the toxic documents."""
+    letters = "bcdfghjk"
+    rows = [(1, f"common text {letters[k // 64 % 8]}{letters[k // 8 % 8]}{letters[k % 8]}rude") for k in range(256) for _ in range(30)]
+    rows += [(0, "common text")] * 8000
+    terms, _ = toxicity.mine(spark.createDataFrame(rows, "toxic int, text string"))
+    assert len(terms) == 256
+
+
+def test_near_words_are_muted_by_rate():
+    near = [[5], [5], [7], [5, 9], [9], *([[]] * 3000), [9], [9]]
+    toxic = np.array([0, 0, 0, 0, 1, *([0] * 3000), 1, 1], float)
+    assert toxicity.harmless_words(near, toxic).tolist() == [5]
+
+
 def test_quotation_scores_less_than_abuse():
     m = toxicity.Model(["idiot"], [])
     texts = [b"you are an idiot, really", 'the word “idiot” comes from greek'.encode(), b"you idiott here", b"nothing at all"]
