@@ -10,7 +10,6 @@ from gridweft.operators.connect import small
 from gridweft.operators.graph import cut
 
 SOURCE = ["source_id", "name", "type", "origin_signal", "master_id", "divide_by"]
-MAX_CHASE = 10
 
 
 def _sources(rows: DataFrame, path: str, kind: str, master: str | None = None, divide: int = 1) -> DataFrame:
@@ -93,12 +92,12 @@ def comb_assigns(assigns: DataFrame) -> DataFrame:
     return assigns.groupBy("lhs").agg(F.min_by("rhs", F.struct(rank, "seq")).alias("rhs"), F.min_by("op", F.struct(rank, "seq")).alias("op"))
 
 
-def register_edges(ffs: DataFrame, assigns: DataFrame, max_depth: int = MAX_CHASE) -> DataFrame:
+def register_edges(ffs: DataFrame, assigns: DataFrame) -> DataFrame:
     """(src_path, dst_path, has_comb): registers whose value reaches another one's input.
 
-    Inputs resolve to registers directly, or through up to ``max_depth`` assignments (lhs, rhs,
-    op), all registers in one loop; has_comb tells that an assignment other than an alias lies
-    between, on the shortest way.
+    Inputs resolve to registers directly, or through any number of assignments (lhs, rhs, op), all
+    registers in one loop, which ends as no signal is taken twice for a register; has_comb tells
+    that an assignment other than an alias lies between, on the shortest way.
     """
     regs = ffs.select(F.col("hier_path").alias("path"))
     hops = cut(comb_assigns(assigns).select("lhs", F.explode("rhs").alias("next"), (F.col("op") != "alias").alias("logic")))
@@ -107,11 +106,9 @@ def register_edges(ffs: DataFrame, assigns: DataFrame, max_depth: int = MAX_CHAS
     named = resolve_names(inputs, signals)
     frontier = cut(inputs.join(named, ["scope_path", "signal"]).select("dst_path", "path", F.lit(False).alias("has_comb")).distinct())
     seen = frontier
-    for _ in range(max_depth):
+    while not frontier.isEmpty():
         step = frontier.join(hops, F.col("path") == F.col("lhs")).select("dst_path", F.col("next").alias("path"), (F.col("has_comb") | F.col("logic")).alias("has_comb")).groupBy("dst_path", "path").agg(F.bool_or("has_comb").alias("has_comb"))
         frontier = cut(step.join(seen.select("dst_path", "path"), ["dst_path", "path"], "left_anti"))
-        if frontier.isEmpty():
-            break
         seen = cut(seen.unionByName(frontier))
     found = seen.join(regs, "path", "left_semi")
     return found.groupBy(F.col("path").alias("src_path"), "dst_path").agg(F.bool_or("has_comb").alias("has_comb"))

@@ -14,6 +14,13 @@ def test_edges_through_assignments_and_loops(spark):
     assert sorted(map(tuple, clocks.register_edges(ffs, assigns).collect())) == [("m.p", "m.q", True), ("m.p", "m.s", True), ("m.q", "m.p", False)]
 
 
+def test_edges_however_long_the_way(spark):
+    ffs = spark.createDataFrame([("m.q", ["w0"]), ("m.p", ["x"])], "hier_path string, fanin array<string>")
+    ways = [(f"m.w{k}", [f"m.w{k + 1}"], "binary" if k == 12 else "alias", "assign", 0) for k in range(14)] + [("m.w14", ["m.p", "m.w3"], "alias", "assign", 0)]
+    assigns = spark.createDataFrame(ways, "lhs string, rhs array<string>, op string, kind string, seq int")
+    assert [tuple(r) for r in clocks.register_edges(ffs, assigns).collect()] == [("m.p", "m.q", True)]
+
+
 def test_unified_clocks_and_score(spark):
     port_map = spark.createDataFrame([("top.c", "top.u.clk"), ("top.d", "top.u.x"), ("top.k", "top.v.clk")], "parent_net string, child_net string")
     used = spark.createDataFrame([("top.u.clk",), ("top.v.clk",)], "child_net string")
