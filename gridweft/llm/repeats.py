@@ -1,6 +1,6 @@
-"""Repeated byte strings: distributed prefix doubling over sampled suffixes.
+"""Repeated byte strings by minimiser sampling, which replaces prefix doubling.
 
-A suffix array over every byte would sort the whole corpus several times over. Doubling starts
+A suffix array over every byte would sort the whole corpus several times over. Ranking starts
 here from sampled suffixes that lose no repeat: every string of ``length`` bytes holds the same
 minimiser (of its ``GRAM``-byte substrings the one of least hash) wherever it occurs.
 
