@@ -1,20 +1,26 @@
 """Repeated byte strings by minimiser sampling, which replaces prefix doubling.
 
-A suffix array over every byte would sort the whole corpus several times over. Ranking starts
-here from sampled suffixes that lose no repeat: every string of ``length`` bytes holds the same
-minimiser (of its ``GRAM``-byte substrings the one of least hash) wherever it occurs.
-
-Round 1 ranks the suffixes at minimisers by their first GRAM bytes: Spark sorts (rank, position)
-pairs and suffixes of unique rank drop out. Round 2 pairs that rank with the rank of the whole
-context that the minimiser stands for: all strings of ``length`` bytes that share it. Equal pairs
-are equal contexts, so all but the first are repeats; a rank with one context alone is settled.
-Round 3 ranks only what is left, the single strings of contexts that are first of their kind
-where other contexts share their minimiser, at the full length. Ranks are 64-bit hashes, so that
-equal strings get equal ranks in any partition without a global renumbering.
+Ranks of a suffix at every byte are 16 bytes for each byte of text, more than the disk allows
+(``doubled`` does that and is the plain check of this module). Ranking starts here from sampled
+suffixes that lose no repeat: every string of ``length`` bytes holds the same minimiser (of its
+``GRAM``-byte substrings the one of least hash) wherever it occurs.
+
+Each round sorts (rank, context) of pieces; a piece stands for strings that start at consecutive
+bytes. Its rank is a hash of bytes that all of these strings hold, so that a unique rank drops
+them all; its context is a hash of all bytes of these strings, so that equal contexts are repeats
+of the first. What is neither is cut finer for the next round:
+
+1. all strings of a minimiser, ranked by its GRAM bytes,
+2. blocks of up to ``BLOCK`` of these strings, ranked by the bytes that a block shares,
+3. single strings.
+
+Ranks are 64-bit hashes, so that equal strings get equal ranks in any partition without a global
+renumbering; a rank alone never decides on a removal, a second hash must agree.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -29,18 +35,20 @@ from gridweft.llm.textkit import U64, Rolling, chunks, mix, ragged
 
 LENGTH = 100
 GRAM = 32
+#: Strings of a block, the pieces of the second round.
+BLOCK = 12
 #: Rows of null doc_id come after all others: the last id, and a bit that no other row number has.
 LAST_ID = (1 << 63) - 1
 NULL_ROW = 1 << 62
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(rank, context rank, text, first string, number of strings) of each minimiser of a chunk.
+    """(rank, context rank, text, first string, number of strings, bytes from it to the gram) of each minimiser.
 
     A minimiser stands for the consecutive strings of ``length`` bytes whose least gram it is; the
     context is all bytes of these strings. Equal hashes go to the first gram.
     """
-    empty = tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64))
+    empty = tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64, np.int64))
     n = len(raw)
     if n < length:
         return empty
@@ -68,7 +76,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     count = np.diff(np.append(first, len(at)))
     lo, anchor = at[first], by[first]
     context = mix(rolling.slices(lo, lo + count - 1 + length) + (anchor - lo).astype(U64))
-    return h[anchor], context, text[first], lo - offsets[text[first]], count
+    return h[anchor], context, text[first], lo - offsets[text[first]], count, anchor - lo
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -90,24 +98,37 @@ def scattered(ids: np.ndarray, rows: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return mix(mix(ids.astype(U64) + mix(rows)) * U64(0x9E3779B97F4A7C15) + lo.astype(U64))
 
 
-def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(rank, context, id, row, lo, n, known) of all minimisers.
+PIECE = "rank long, context long, id long, row long, lo long, n long, at int, known boolean"
+
+
+def piece_batch(rank: np.ndarray, context: np.ndarray, ids: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Pieces of a chunk, in the order of their texts and places, as rows of ``PIECE``.
 
     Of equal contexts within a chunk only the first has to meet those of other chunks; the others
-    are known to repeat it. A passage that recurs everywhere thus sends one row a chunk.
+    are known to repeat it, and neighbours among them become one row. A passage that recurs
+    everywhere thus sends one row a chunk.
     """
+    known = later(rank ^ mix(context), ids, rows, lo)
+    joins = np.zeros(len(lo), dtype=bool)
+    joins[1:] = known[1:] & known[:-1] & (ids[1:] == ids[:-1]) & (rows[1:] == rows[:-1]) & (lo[1:] == lo[:-1] + n[:-1])
+    first = np.flatnonzero(~joins)
+    n = np.add.reduceat(n, first) if len(first) else n
+    rank, context, ids, rows, lo, at, known = (x[first] for x in (rank.copy(), context, ids, rows, lo, at, known))
+    rank[known] = scattered(ids[known], rows[known], lo[known])
+    return pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(np.where(known, 0, context.view(np.int64))), pa.array(ids), pa.array(rows), pa.array(lo), pa.array(n), pa.array(at.astype(np.int32)), pa.array(known)], names=["rank", "context", "id", "row", "lo", "n", "at", "known"])
+
+
+def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The strings of each minimiser as a row of ``PIECE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = (batch.column(c).to_numpy() for c in ("id", "row"))
             for a, _, raw, offsets in chunks(batch.column("text")):
-                rank, context, text, lo, count = anchors(raw, offsets, length, gram)
-                of, row = ids[a + text], rows[a + text]
-                known = later(rank ^ mix(context), of, row, lo)
-                rank[known] = scattered(of[known], row[known], lo[known])
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(context.view(np.int64)), pa.array(of), pa.array(row), pa.array(lo), pa.array(count), pa.array(known)], names=["rank", "context", "id", "row", "lo", "n", "known"])
+                rank, context, text, lo, count, at = anchors(raw, offsets, length, gram)
+                yield piece_batch(rank, context, ids[a + text], rows[a + text], lo, count, at)
 
-    return texts.select("id", "row", "text").mapInArrow(run, "rank long, context long, id long, row long, lo long, n long, known boolean")
+    return texts.select("id", "row", "text").mapInArrow(run, PIECE)
 
 
 def later(key: np.ndarray, ids: np.ndarray, numbers: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -127,6 +148,9 @@ def later(key: np.ndarray, ids: np.ndarray, numbers: np.ndarray, lo: np.ndarray)
     return out
 
 
+_PLACE = ["id", "row", "lo", "n", "at"]
+
+
 class _Sorted:
     """Walks sorted (rank, context) rows batch by batch; keeps one row between batches."""
 
@@ -136,7 +160,7 @@ class _Sorted:
 
     def settle(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
         known = batch.column("known")
-        yield self.marked(pa.Table.from_batches([batch.filter(known)]).select(["id", "row", "lo", "n"]), 1)
+        yield self.marked(pa.Table.from_batches([batch.filter(known)]).select(_PLACE), 1)
         batch = batch.filter(pc.invert(known))
         rank, context = batch.column("rank").to_numpy(), batch.column("context").to_numpy()
         new_rank, new_context = np.ones(len(rank), dtype=bool), np.ones(len(rank), dtype=bool)
@@ -145,7 +169,7 @@ class _Sorted:
         if self.rank is not None and len(rank):
             new_rank[0] = rank[0] != self.rank
             new_context[0] = new_rank[0] or context[0] != self.context
-        rows = pa.Table.from_batches([batch]).select(["id", "row", "lo", "n"])
+        rows = pa.Table.from_batches([batch]).select(_PLACE)
         again, other = ~new_context, new_context & ~new_rank
         run = np.cumsum(new_rank)
         shared = np.zeros(run[-1] + 1 if len(run) else 1, dtype=bool)
@@ -167,7 +191,7 @@ class _Sorted:
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """(id, row, lo, n, kind) of minimisers of shared rank: 1 repeats a context, 2 is open."""
+    """(id, row, lo, n, at, kind) of pieces of shared rank: 1 repeats a context, 2 is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = _Sorted()
@@ -177,54 +201,60 @@ def settled(rows: DataFrame) -> DataFrame:
                     yield from part.combine_chunks().to_batches()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "context", "id", "row", "lo").mapInArrow(run, "id long, row long, lo long, n long, kind int")
+    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "context", "id", "row", "lo").mapInArrow(run, "id long, row long, lo long, n long, at int, kind int")
 
 
-def open_strings(texts: DataFrame, length: int) -> DataFrame:
-    """(rank, id, row, lo, known) of the strings in the open ranges of texts (id, row, text, los, ns)."""
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bytes, offsets, ids, rows, text of each piece, lo, n, at) of chunks of texts (id, row, text, los, ns, ats)."""
+    for batch in batches:
+        batch = batch.filter(batch.column("los").is_valid())
+        ids, rows = (batch.column(c).to_numpy() for c in ("id", "row"))
+        for a, b, raw, offsets in chunks(batch.column("text")):
+            lists = [batch.column(c).slice(a, b - a) for c in ("los", "ns", "ats")]
+            lo, n, at = (np.asarray(x.flatten(), dtype=np.int64) for x in lists)
+            text = np.repeat(np.arange(b - a), np.diff(np.asarray(lists[0].offsets)))
+            order = np.lexsort((lo, text))
+            yield raw, offsets, ids[a:b], rows[a:b], text[order], lo[order], n[order], at[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column("los").is_valid())
-            ids, rows = (batch.column(c).to_numpy() for c in ("id", "row"))
-            los, ns = batch.column("los"), batch.column("ns")
-            for a, b, raw, offsets in chunks(batch.column("text")):
-                lo_lists, n_lists = los.slice(a, b - a), ns.slice(a, b - a)
-                lo, n = np.asarray(lo_lists.flatten()), np.asarray(n_lists.flatten())
-                text = np.repeat(np.arange(b - a), np.diff(np.asarray(lo_lists.offsets)))
-                at = ragged(lo + offsets[text], n)
-                rank = Rolling(raw).slices(at, at + length)
-                of = np.repeat(text, n)
-                of, row, lo = ids[a + of], rows[a + of], at - offsets[of]
-                known = later(rank, of, row, lo)
-                rank[known] = scattered(of[known], row[known], lo[known])
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(of), pa.array(row), pa.array(lo), pa.array(known)], names=["rank", "id", "row", "lo", "known"])
 
-    return texts.select("id", "row", "text", "los", "ns").mapInArrow(run, "rank long, id long, row long, lo long, known boolean")
+def block_rows(texts: DataFrame, length: int) -> DataFrame:
+    """The strings of open pieces in blocks, as rows of ``PIECE``.
 
+    Strings are dealt to blocks by their distance from the minimiser, which is the same wherever
+    a string occurs. The rank is that of the bytes that all strings of a whole block hold, and of
+    the block's number.
+    """
 
-def later_of_rank(rows: DataFrame) -> DataFrame:
-    """(id, row, lo, n): of the strings of each rank all but the first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw, offsets, ids, rows, text, lo, n, at in listed(batches):
+            # strings of a piece lie at - n + 1 to at bytes before the minimiser
+            most, least = at // BLOCK, (at - n + 1) // BLOCK
+            count = most - least + 1
+            of = np.repeat(np.arange(len(lo)), count)
+            block = ragged(-most, count) * -1
+            anchor, far = (lo + at)[of], np.minimum(at[of], block * BLOCK + BLOCK - 1)
+            near = np.maximum((at - n + 1)[of], block * BLOCK)
+            first, last = anchor - far, anchor - near
+            base = offsets[text[of]]
+            rolling = Rolling(raw)
+            core = rolling.slices(base + anchor - block * BLOCK, base + anchor - block * BLOCK - BLOCK + 1 + length)
+            context = mix(rolling.slices(base + first, base + last + length) + far.astype(U64))
+            yield piece_batch(mix(core + block.astype(U64)), context, ids[text[of]], rows[text[of]], first, last - first + 1, far)
+
+    return texts.select("id", "row", "text", "los", "ns", "ats").mapInArrow(run, PIECE)
+
+
+def single_rows(texts: DataFrame, length: int) -> DataFrame:
+    """The strings of open pieces one by one, as rows of ``PIECE``; their context is a second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            known = batch.column("known")
-            done = batch.filter(known).select(["id", "row", "lo"])
-            yield done.append_column("n", pa.array(np.ones(done.num_rows, np.int64)))
-            batch = batch.filter(pc.invert(known))
-            rank = batch.column("rank").to_numpy()
-            if not len(rank):
-                continue
-            again = np.zeros(len(rank), dtype=bool)
-            again[1:] = rank[1:] == rank[:-1]
-            again[0] = last is not None and rank[0] == last
-            last = rank[-1]
-            found = batch.select(["id", "row", "lo"]).filter(pa.array(again))
-            yield found.append_column("n", pa.array(np.ones(found.num_rows, np.int64)))
+        for raw, offsets, ids, rows, text, lo, n, _ in listed(batches):
+            place = ragged(lo + offsets[text], n)
+            of = np.repeat(text, n)
+            rank, context = (Rolling(x).slices(place, place + length) for x in (raw, ~raw))
+            yield piece_batch(rank, context, ids[of], rows[of], place - offsets[of], np.ones(len(place), np.int64), np.zeros(len(place), np.int64))
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "id", "row", "lo").mapInArrow(run, "id long, row long, lo long, n long")
+    return texts.select("id", "row", "text", "los", "ns", "ats").mapInArrow(run, PIECE)
 
 
 def _removed(size: int, lo: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -270,13 +300,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     """
     gram = max(1, min(GRAM, length // 2))
     texts, key = numbered(docs)
-    ranked = stored(settled(anchor_rows(texts, length, gram)), "repeats")
-    lists = lambda df: df.groupBy(key).agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
-    # the same left join twice, so that one exchange of the texts serves both
-    unsettled = lists(ranked.where("kind = 2").select("id", "row", "lo", "n"))
-    later = later_of_rank(open_strings(texts.join(unsettled, key, "left"), length))
-    gone = lists(ranked.where("kind = 1").select("id", "row", "lo", "n").unionAll(later))
-    return trimmed(texts.join(gone, key, "left"), length, keep_text)
+    columns = {"lo": "los", "n": "ns", "at": "ats"}
+    lists = lambda df, names: df.groupBy(key).agg(*[F.collect_list(c).alias(columns[c]) for c in names])
+    # the same left join each time, so that one exchange of the texts serves all
+    still = lambda df: texts.join(lists(df.where("kind = 2"), columns), key, "left")
+    rounds = [stored(settled(anchor_rows(texts, length, gram)), "repeats")]
+    if length > BLOCK:
+        rounds.append(stored(settled(block_rows(still(rounds[0]), length)), "repeats"))
+    rounds.append(settled(single_rows(still(rounds[-1]), length)))
+    gone = functools.reduce(DataFrame.unionAll, [x.where("kind = 1").select("id", "row", "lo", "n") for x in rounds])
+    return trimmed(texts.join(lists(gone, ("lo", "n")), key, "left"), length, keep_text)
 
 
 def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
