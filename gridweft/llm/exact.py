@@ -35,43 +35,66 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows with equal normalised texts form a group and its smallest doc_id stays. Three rounds
-    narrow the rows down: a length that others share, then a prefix hash that others share, and
-    only what survives both has its full hash read and grouped. All rounds work on stored narrow
-    columns; hot groups meet only partial aggregates and joins that can be split.
-
-    Null and empty texts are one group. Rows that repeat a doc_id with the same text all report
-    that doc_id as keep_id and are kept as one document. An empty table gives an empty result;
-    columns other than doc_id and text are ignored.
+    Rows with equal normalised texts form a group. Its row with the smallest doc_id stays; of rows
+    that share that doc_id too one stays, and a null doc_id comes after all others (keep_id is null
+    where a group has no other). Three rounds narrow the rows down: a length that others share,
+    then a prefix hash that others share, and only what survives both has its full hash read and
+    grouped. All rounds work on stored narrow columns; hot groups meet only partial aggregates and
+    joins that can be split.
+
+    Null and empty texts are one group; long texts are hashed whole. An empty table gives an empty
+    result; columns other than doc_id and text are ignored, whatever their names.
     """
     rows = fingerprints(docs)
     # partial aggregates fold copies before anything is shuffled
     prefixes = rows.groupBy("n_bytes", "prefix_hash").agg(F.count(F.lit(1)).alias("n"))
-    by_length = prefixes.groupBy("n_bytes").agg(F.sum("n").alias("n_length")).where("n_length > 1")
     # stored, so that the join after a final aggregate has exchanges that can be split
-    by_prefix = stored(prefixes.join(by_length, "n_bytes", "left_semi").where("n > 1").select("n_bytes", "prefix_hash"), "prefixes")
+    by_prefix = stored(_shared(prefixes), "prefixes")
     same_prefix = rows.join(by_prefix, ["n_bytes", "prefix_hash"], "left_semi")
+    # rows that repeat doc_id and text fold first; first: the smallest doc_id and how many rows have it
+    repeats = same_prefix.groupBy("n_bytes", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "n"))
     groups = stored(
-        same_prefix.groupBy("n_bytes", "text_sha256")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1"),
+        repeats.groupBy("n_bytes", "text_sha256")
+        .agg(first.alias("first"), F.sum("n").alias("group_size"))
+        .where("group_size > 1")
+        .select("n_bytes", "text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.n").alias("n_first"), "group_size"),
         "groups",
     )
     found = rows.select("doc_id", "n_bytes", "text_sha256").join(groups, ["n_bytes", "text_sha256"], "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return found.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == keep, F.lit(True)).alias("kept"),
-        "text_sha256",
-    )
+    alone = F.col("group_size").isNull()
+    is_first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    size = F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
+    out = found.where(alone | ~is_first | (F.col("n_first") == 1)).select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), size, (alone | is_first).alias("kept"), "text_sha256")
+    # of several first rows, which nothing tells apart, one is kept
+    several = groups.where("n_first > 1").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_first"))).alias("k"))
+    return out.unionAll(several.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", (F.col("k") == 1).alias("kept"), "text_sha256"))
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """The (n_bytes, prefix_hash) of several rows: lengths that others share first, then prefixes."""
+    by_length = prefixes.groupBy("n_bytes").agg(F.sum("n").alias("n_length")).where("n_length > 1")
+    return prefixes.join(by_length, "n_bytes", "left_semi").where("n > 1").select("n_bytes", "prefix_hash")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents of which no earlier copy exists, with all their columns."""
-    dropped = exact_dedup(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of equal normalised texts, with all its columns: that of the smallest doc_id.
+
+    Rows are told apart by their texts, never by doc_id, so that ids may repeat or be null (null
+    ids come last). Lengths and prefix hashes are taken in a first scan; rows that share neither
+    go straight to the output, and only the others' full hashes are computed. Rows of a group fold
+    within each task before they are shuffled. Null and empty texts are one group; an empty table
+    stays empty; other columns may have any names.
+    """
+    flat = normalised()
+    length, prefix = F.octet_length(flat).cast("long"), F.xxhash64(F.substring(flat, 1, PREFIX_CHARS))
+    light = docs.select(length.alias("n_bytes"), prefix.alias("prefix_hash"))
+    shared = stored(_shared(light.groupBy("n_bytes", "prefix_hash").agg(F.count(F.lit(1)).alias("n"))), "prefixes")
+    row = docs.select(F.struct(*docs.columns).alias("row"), length.alias("n_bytes"), prefix.alias("prefix_hash"))
+    alone = row.join(shared, ["n_bytes", "prefix_hash"], "left_anti").select("row")
+    others = row.join(shared, ["n_bytes", "prefix_hash"], "left_semi").select("row", F.sha2(normalised("row.text"), 256).alias("hash"))
+    first = others.groupBy("hash").agg(F.min_by("row", F.struct(F.col("row.doc_id").isNull().alias("null"), "row.doc_id")).alias("row"))
+    return alone.unionAll(first.select("row")).select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
