@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, stored, table
@@ -118,17 +118,21 @@ def _registers(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, m)
 
 
+def text_print(text: str = "text") -> Column:
+    return F.xxhash64(clear_text(text))
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, s1, s2 and registers of every row."""
+    """doc_id, print (a hash of the text as it is), n, s1, s2 and registers of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offsets in chunks(batch.column("text")):
                 sets = shingles(raw, offsets, width)
                 s1, s2 = set_signature(sets)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), _binary(sketch(sets))], names=["doc_id", "n", "s1", "s2", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("print").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), _binary(sketch(sets))], names=["doc_id", "print", "n", "s1", "s2", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), text_print().alias("print"), clear_text().alias("text")).mapInArrow(run, "doc_id long, print long, n long, s1 long, s2 long, registers binary")
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
@@ -182,19 +186,16 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles) of the documents in wanted (rep, s1, s2): the full sets, sorted."""
+    """(rep, shingles) of the rows (doc_id, print) in wanted (doc_id, print, rep): the full sets, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [np.asarray(batch.column(c)) for c in ("s1", "s2")]
             for a, b, raw, offsets in chunks(batch.column("text")):
                 sets = shingles(raw, offsets, width)
-                s1, s2 = set_signature(sets)
-                same = (s1 == s[0][a:b]) & (s2 == s[1][a:b])  # another row may have the same doc_id
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "shingles"]).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), clear_text().alias("text"))
-    return texts.join(wanted, "rep").select("rep", "s1", "s2", "text").mapInArrow(run, "rep long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long"), text_print().alias("print"), clear_text().alias("text"))
+    return texts.join(wanted, ["doc_id", "print"]).select("rep", "text").mapInArrow(run, "rep long, shingles binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -307,8 +308,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     are linked; component_id is the smallest doc_id that links reach, and that document is kept.
 
     1. Rows with equal sets collapse to the smallest doc_id (by set sums; no pair is made).
-    2. Sketches of these representatives are banded; a bucket's most connected member becomes
-       the pivot of a cell, and all members are compared with it alone: estimate, then full sets.
+    2. Sketches of these representatives (numbered, as doc_ids may repeat) are banded; a bucket's
+       most connected member becomes the pivot of a cell, and all members are compared with it
+       alone: estimate, then full sets.
     3. Members that aren't linked with their cell's pivot are compared with the cell's others in
        blocks of bounded size, sketches first; only rows, never pairs, leave that step, and of
        the links found on full sets one for each row and component.
@@ -316,18 +318,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     A text with fewer words is one shingle; one without words (null or empty too) has none and
     is linked with nothing. Rows of null doc_id are linked with nothing and kept. Rows that
-    repeat a doc_id count as separate texts that share it.
+    repeat a doc_id are texts of their own that share it: links of one are not links of the
+    other, and component_id is the smallest doc_id that a row's own links reach. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
+    """
+    rows, names = labelled_rows(docs, width, percent)
+    out = rows.select("doc_id", "n", "s1", "s2").join(names.select("n", "s1", "s2", "least"), ["n", "s1", "s2"], "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("least", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def pivots_of(members: DataFrame) -> DataFrame:
+    """(cell, rep): each bucket's most connected member as the pivot of the others.
+
+    members has (key, rep). Buckets meet only partial aggregates and joins on them, so that a hot
+    one is never gathered in a task.
     """
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = stored(members.join(sizes, "key"), "buckets")
+    reach = stored(shared.groupBy("rep").agg(F.sum("size").alias("reach")), "reach")
+    ranked = stored(shared.select("key", "rep").join(reach, "rep"), "ranked")
+    top = stored(ranked.groupBy("key").agg(F.max(F.struct("reach", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("cell")), "tops")
+    return stored(ranked.join(top, "key").select("cell", "rep").where("cell <> rep").distinct(), "cells")
+
+
+def labelled_rows(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs with print, n, s1, s2; sets (n, s1, s2) with component and least, its smallest doc_id)."""
     least = percent / 100 - SLACK
     rows = stored(sketched(docs, width), "sketches")
     equal = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2")
-    reps = stored(equal.agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "representatives")
-
-    in_bucket = Window.partitionBy("key")
-    members = stored(band_keys(reps).withColumn("size", F.count(F.lit(1)).over(in_bucket)).where("size > 1"), "buckets")
-    reach = members.groupBy("rep").agg(F.sum("size").alias("reach"))
-    ranked = members.join(reach, "rep").withColumn("top", F.max(F.struct("reach", (-F.col("rep")).alias("rep"))).over(in_bucket))
-    cells = stored(ranked.select((-F.col("top.rep")).alias("cell"), "rep").where("cell <> rep").distinct(), "cells")
+    first = F.min(F.struct("doc_id", "print")).alias("first")
+    # a set's number is stored with it, so that it stays
+    reps = equal.agg(first, F.first("registers").alias("registers")).withColumn("rep", F.monotonically_increasing_id())
+    reps = stored(reps.select("rep", "first.doc_id", "first.print", "n", "s1", "s2", "registers"), "representatives")
+    cells = pivots_of(band_keys(reps))
 
     sketches = reps.select("rep", "n", "registers")
     pairs = (
@@ -337,7 +361,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     star = stored(estimated(pairs, least), "star")
     in_cells = cells.select("rep").unionAll(cells.select("cell")).distinct()
-    sets = stored(sets_of(docs, reps.join(in_cells, "rep").select("rep", "s1", "s2"), width), "sets")
+    sets = stored(sets_of(docs, reps.join(in_cells, "rep").select("doc_id", "print", "rep"), width).dropDuplicates(["rep"]), "sets")
     side = lambda k, s: sets.select(F.col("rep").alias(k), F.col("shingles").alias(s))
     links = stored(verified(star.join(side("b", "sb"), "b").join(side("a", "sa"), "a"), percent), "links")
     first = components(links)
@@ -352,16 +376,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = cross_links(hopeful.join(sets, "rep"), percent)
     final = components(links.unionAll(more)).select(F.col("id").alias("rep"), "component")
 
-    names = reps.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(names, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    names = reps.select("n", "s1", "s2", "rep", "doc_id").join(final, "rep", "left").select("n", "s1", "s2", "doc_id", F.coalesce("component", "rep").alias("component"))
+    names = stored(names, "components")
+    # only sets with links need their component's smallest doc_id
+    smallest = stored(names.groupBy("component").agg(F.min("doc_id").alias("least")), "smallest")
+    return rows, names.join(smallest, "component").select("n", "s1", "s2", "component", "least")
 
 
 def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with all their columns: one of each group of near duplicates."""
-    dropped = near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, with all its columns: that of the smallest doc_id.
+
+    Rows are told apart by doc_id and a hash of the text, so that a doc_id that repeats with
+    another text drops nothing; of rows equal in both, and of rows of a group that share its
+    smallest doc_id, one stays. Texts without words and rows of null doc_id all stay. An empty
+    table stays empty; other columns may have any names.
+    """
+    rows, names = labelled_rows(docs, width, percent)
+    members = stored(rows.where("doc_id IS NOT NULL").join(names.select("n", "s1", "s2", "component"), ["n", "s1", "s2"]).select("doc_id", "print", "component"), "members")
+    # each group's first row: a component, a (doc_id, print), and how many rows have that
+    counted = members.groupBy("component", "doc_id", "print").agg(F.count(F.lit(1)).alias("n"))
+    first = stored(counted.groupBy("component").agg(F.min(F.struct("doc_id", "print", "n")).alias("first"), F.sum("n").alias("size")).where("size > 1").select("component", "first.*"), "firsts")
+    grouped_rows = members.join(first.withColumnsRenamed({"doc_id": "first_id", "print": "first_print"}), "component")
+    dropped = stored(grouped_rows.where("doc_id <> first_id OR print <> first_print").select("doc_id", "print").distinct(), "dropped")
+    keyed = docs.withColumns({"__near_row_id": F.col("doc_id").cast("long"), "__near_row_print": text_print()})
+    at = lambda df: [keyed["__near_row_id"] == df["doc_id"], keyed["__near_row_print"] == df["print"]]
+    several = first.where("n > 1").select("doc_id", "print")
+    kept = keyed.join(dropped, at(dropped), "left_anti")
+    if several.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(several, [kept["__near_row_id"] == several["doc_id"], kept["__near_row_print"] == several["print"]], "left_semi").dropDuplicates(["__near_row_id", "__near_row_print"])
+    rest = kept.join(several, [kept["__near_row_id"] == several["doc_id"], kept["__near_row_print"] == several["print"]], "left_anti")
+    return rest.unionAll(once).select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
