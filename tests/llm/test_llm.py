@@ -204,9 +204,36 @@ def test_top_k(spark):
         got = knn.top_k(df, F.col("vec_id") % 50 == 0, n_pivots=pivots)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert knn.top_k(df.limit(0), F.lit(True)).count() == 0
+    # rows that share an id are candidates for each other, and each query among them has its own best
+    twin = spark.createDataFrame([(0, rows[1][1]), (0, rows[2][1]), (3, rows[1][1]), (None, rows[1][1])], "vec_id long, embedding array<float>")
+    a, b = clean[1], clean[2]
+    own, across, other = int(a @ a), int(a @ b), int(b @ b)
+    want = [*((0, r + 1, i, s) for r, (s, i) in enumerate(sorted([(own, 3), (across, 0)], key=lambda x: (-x[0], x[1])))), *((0, r + 1, i, s) for r, (s, i) in enumerate(sorted([(across, 0), (across, 3)], key=lambda x: (-x[0], x[1]))))]
+    assert other and sorted(map(tuple, knn.top_k(twin, F.col("vec_id") == 0).collect())) == sorted(want)
     assert knn.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_bounds_spare_cells(spark, monkeypatch):
+    """Where vectors lie in clusters, queries meet few cells; the result is that of all of them."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 4, (20, 8))
+    rows = [(k, [float(x) for x in centres[k % 20] + rng.normal(0, 0.02, 8)]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met = []
+    needed = knn.needed_cells
+    monkeypatch.setattr(knn, "needed_cells", lambda *x: met.append(needed(*x)) or met[-1])
+    got = knn.top_k(df, F.col("vec_id") % 50 == 0, n_pivots=200)
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    want = []
+    for q in range(0, 1000, 50):
+        best = sorted((-int(x[q] @ x[k]), k) for k in range(1000) if k != q)[:5]
+        want += [(q, i + 1, k, -s) for i, (s, k) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert met[0].count() < 20 * 200 / 4
+
+
 def test_mixing(spark, awkward, nothing):
     weights = [5, 3, 1, 7]
     slots = mixing.pfair_period(weights)
