@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from bisect import insort
 from collections.abc import Iterator, Sequence
 from functools import cached_property
 
@@ -98,7 +98,7 @@ class Pieces:
         char_end = np.append(np.flatnonzero(lead), len(raw))
         width = np.zeros(len(raw), dtype=np.int64)
         width[char_end[:-1]] = np.diff(char_end)
-        at = np.flatnonzero(lead)
+        at = np.flatnonzero(lead).astype(np.int32)
         state, step = np.zeros(len(at), dtype=np.int32), 0
         single = np.zeros(len(raw), dtype=bool)
         while len(at):
@@ -118,7 +118,7 @@ class Pieces:
         bare = np.repeat(~single[at0] if len(at0 := char_end[:-1]) else np.zeros(0, bool), np.diff(char_end))
         b = np.flatnonzero(bare)
         out.append((b, b + 1, self.byte_id[raw[b]].astype(np.int32)))
-        start, end, piece = (np.concatenate([x[k] for x in out]) for k in range(3))
+        start, end, piece = (np.concatenate([x[k] for x in out], dtype=np.int32) for k in range(3))
         return start, end, piece
 
 
@@ -133,12 +133,13 @@ class Lattice:
         byte_at = np.cumsum(size) - size
         self.first = byte_at + np.arange(len(words))
         self.last = self.first + size
-        word_of = np.repeat(np.arange(len(words)), size)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), size)
         s, e, self.piece = pieces.edges(raw, word_of)
         self.word = word_of[s]
-        offset = s - byte_at[self.word]
-        order = np.lexsort((e, offset))
+        offset = (s - byte_at[self.word]).astype(np.int32)
+        order = np.lexsort((e, offset)).astype(np.int32)
         s, e, offset, self.piece, self.word = s[order], e[order], offset[order], self.piece[order], self.word[order]
+        del order
         self.start, self.end = s + self.word, e + self.word
         self.weight = pieces.score[self.piece]
         n = len(raw) + len(words)
@@ -186,25 +187,36 @@ def n_best(pieces: Pieces, word: bytes, n: int) -> list[tuple[float, list[int]]]
 
     Forward Viterbi scores are the exact cost of the way that is left, so that hypotheses leave
     the queue in the order of their full scores and the first n that reach the start are the n
-    best. Equal scores come out in the order of their ids, last piece first.
+    best; of equal scores the one nearest to the start goes first. Hypotheses stand for disjoint
+    sets of segmentations, each with one of its score, so that a queue of as many as are still
+    wanted is enough. Paths share their tails: memory grows with n times the length.
     """
     lattice = Lattice(pieces, [word])
-    into: dict[int, list[int]] = {}
-    for k, e in enumerate(lattice.end.tolist()):
-        into.setdefault(e, []).append(k)
+    order = np.argsort(lattice.end, kind="stable")
+    into = np.searchsorted(lattice.end[order], np.arange(len(lattice.forward) + 1))
     first, last = int(lattice.first[0]), int(lattice.last[0])
-    queue: list[tuple[float, tuple[int, ...], int, float]] = [(-float(lattice.forward[last]), (), last, 0.0)]
+    queue: list[tuple[float, int, int, float, tuple | None]] = [(-float(lattice.forward[last]), last, 0, 0.0, None)]
     out: list[tuple[float, list[int]]] = []
+    made = 0
     while queue and len(out) < n:
-        total, path, node, tail = heapq.heappop(queue)
+        total, node, _, tail, path = queue.pop(0)
         if node == first:
-            out.append((-total, list(path[::-1])))
+            ids = []
+            while path is not None:
+                piece, path = path
+                ids.append(piece)
+            out.append((-total, ids))
             continue
-        for k in into.get(node, ()):
-            f = float(lattice.forward[lattice.start[k]])
-            if f > -np.inf:
-                t = tail + float(lattice.weight[k])
-                heapq.heappush(queue, (-(f + t), (*path, int(lattice.piece[k])), int(lattice.start[k]), t))
+        edges = order[into[node] : into[node + 1]]
+        start = lattice.start[edges]
+        tails = lattice.weight[edges] + tail
+        full = lattice.forward[start] + tails
+        wanted = n - len(out)
+        bound = -queue[wanted - 1][0] if len(queue) >= wanted else -np.inf
+        for k in np.flatnonzero((full > bound) if bound > -np.inf else np.isfinite(full)).tolist():
+            made += 1
+            insort(queue, (-float(full[k]), int(start[k]), made, float(tails[k]), (int(lattice.piece[edges[k]]), path)))
+        del queue[wanted:]
     return out
 
 
@@ -302,7 +314,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, n: int = N_BEST,
     best_scores are those of the ``n`` best segmentations (fewer, if there are fewer), best first,
     under the sum of the model's piece scores; ids are those of the best one. round_trip says
     whether decoding these ids gives the text byte by byte. A null text is an empty one: its only
-    piece is the blank that precedes every text. With ``ids`` the ids are returned too, and the columns
+    piece is the blank that precedes every text; a text without blanks is one word, whose lattice
+    is held as a whole (about 400 bytes for each of its bytes). Rows that repeat a doc_id, or have
+    none, are texts of their own; an empty table gives an empty result; columns that are not named
+    here are ignored. With ``ids`` the ids are returned too, and the columns
     of docs in ``keep`` follow as they are.
     """
     path = path or vocabulary_path("piece_bpe_32k.model")
