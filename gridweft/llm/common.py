@@ -47,6 +47,11 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def held_out(doc_id: Column, n: int, remainder: int) -> Column:
+    """Whether a row teaches nothing; a row without an id is in no fold and does not teach either."""
+    return F.coalesce(fold(doc_id, n) == remainder, F.lit(True)).alias("held_out")
+
+
 def clear_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

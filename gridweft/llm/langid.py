@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import bounded_sample, clear_text, fold, table
-from gridweft.llm.textkit import U64, chunks
+from gridweft.llm.common import clear_text, fold, held_out, table
+from gridweft.llm.textkit import CHUNK, U64, chunks
 
 #: Character n-grams of these lengths, each hashed to ``BUCKETS`` features.
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 256
+#: Values of the hash that draws the rows that teach.
+DRAWS = 1 << 30
 _BLANK = 0x20
 
 
@@ -80,7 +82,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.nd
 @dataclass
 class Model:
     languages: list[str]
-    #: log P(feature | language), a row for each feature; the last row is for no feature.
+    #: log P(feature | language), a row for each language; the last column is for no feature.
     weights: np.ndarray
     prior: np.ndarray
 
@@ -100,7 +102,9 @@ def fit(docs: DataFrame, per_language: int = 5000, smoothing: float = 0.5) -> Mo
     width = len(ORDERS) * BUCKETS
     counts = np.zeros((width, len(languages)))
     if languages:
-        sample = functools.reduce(DataFrame.unionAll, [bounded_sample(labelled.where(F.col("lang") == x), per_language, sizes[x]) for x in languages])
+        # one scan: each language has a bound of its own on the hash that draws its rows
+        bounds = F.create_map(*[F.lit(v) for x in languages for v in (x, DRAWS if sizes[x] <= per_language else int(DRAWS * per_language / sizes[x]))])
+        sample = labelled.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(DRAWS)) < F.try_element_at(bounds, F.col("lang")))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(languages), width), dtype=np.int64)
@@ -117,19 +121,55 @@ def fit(docs: DataFrame, per_language: int = 5000, smoothing: float = 0.5) -> Mo
 
         found = sample.mapInArrow(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
         counts[found["feature"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
-    weights = np.zeros((width + 1, len(languages)), dtype=np.float32)
+    weights = np.zeros((len(languages), width + 1), dtype=np.float32)
     for k in range(len(ORDERS)):
         part = counts[k * BUCKETS : (k + 1) * BUCKETS] + smoothing
-        weights[k * BUCKETS : (k + 1) * BUCKETS] = np.log(part / part.sum(axis=0))
+        weights[:, k * BUCKETS : (k + 1) * BUCKETS] = np.log(part / part.sum(axis=0)).T
     total = np.array([sizes[x] for x in languages], dtype=float) + 1
     return Model(languages, weights, np.log(total / total.sum()))
 
 
+def text_sums(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, limit: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probabilities of each text's n-grams by language, its letters).
+
+    A single text of more than ``limit`` bytes is summed in pieces that begin and end with
+    characters; each looks as far into the next as its last n-grams reach.
+    """
+    if len(offsets) > 2 or len(raw) <= 2 * limit:
+        features, first, letters = grams(raw, offsets)
+        total = np.zeros((len(first) - 1, len(weights)))
+        full = np.flatnonzero(np.diff(first) > 0)
+        for f in features:
+            for k, row in enumerate(weights):
+                total[full, k] += np.add.reduceat(row[f], first[:-1][full], dtype=np.float64) if len(full) else 0
+        return total, letters
+
+    def next_character(at: int) -> int:
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += 1
+        return at
+
+    total, letters, a = np.zeros((1, len(weights))), 0, 0
+    while a < len(raw):
+        b = end = next_character(min(a + limit, len(raw)))
+        for _ in range(max(ORDERS) - 1):
+            end = next_character(end + 1) if end < len(raw) else end
+        features, _, _ = grams(raw[a:end], np.array([0, end - a]))
+        points, at = code_points(raw[a:b])
+        letters += int(_folding()[1][points].sum())
+        for f in features:
+            total[0] += [row[f[: len(at)]].sum(dtype=np.float64) for row in weights]
+        a = b
+    return total, np.array([letters])
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the posterior) of every row, over its whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Equal
-    posteriors go to the language first in alphabetical order.
+    posteriors go to the language first in alphabetical order. Rows that repeat a doc_id, or have
+    none, are texts of their own; very long texts are summed in pieces; an empty table gives an
+    empty result; other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.prior))  # languages x features, both bounded
     languages = [*model.languages, "und"]
@@ -139,20 +179,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             best = np.full(batch.num_rows, len(languages) - 1)
             posterior = np.zeros(batch.num_rows)
-            for a, b, raw, offsets in chunks(batch.column("text")):
-                features, first, letters = grams(raw, offsets)
-                some = np.flatnonzero(letters > 0)
-                if not len(some) or len(languages) == 1:
+            for a, _, raw, offsets in chunks(batch.column("text")):
+                if len(languages) == 1 or not len(raw):
                     continue
-                total = np.zeros((len(first[:-1]), len(prior)))
-                full = np.flatnonzero(np.diff(first) > 0)
-                for f in features:
-                    total[full] += np.add.reduceat(weights[f], first[:-1][full], axis=0, dtype=np.float64)
+                total, letters = text_sums(raw, offsets, weights)
+                some = np.flatnonzero(letters > 0)
                 total = total[some] + prior
-                total -= total.max(axis=1, keepdims=True)
+                total -= total.max(axis=1, keepdims=True, initial=-np.inf)
                 p = np.exp(total)
                 p /= p.sum(axis=1, keepdims=True)
-                best[a + some], posterior[a + some] = p.argmax(axis=1), p.max(axis=1)
+                if len(some):
+                    best[a + some], posterior[a + some] = p.argmax(axis=1), p.max(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([languages[i] for i in best.tolist()], pa.string()), pa.array(posterior)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(score, "doc_id long, lang_pred string, score double")
@@ -161,4 +198,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
-    return predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2), "lang_pred", "score")
