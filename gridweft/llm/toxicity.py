@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import bounded_sample, fold, table
+from gridweft.llm.common import bounded_sample, fold, held_out, stored, table
 from gridweft.llm.textkit import Rolling, chunks
 
 THRESHOLD = 0.5
@@ -311,6 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 4000, clean: int = 8000
     n = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = bounded_sample(labels.where("toxic = 1"), toxic, n.get(1, 0)).unionAll(bounded_sample(labels.where("toxic = 0"), clean, n.get(0, 0)))
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # toxic + clean rows of two numbers
+    sample = stored(sample, "labelled")  # read several times; the corpus is scanned once for it
     model = Model(*mine(sample))
     if not model.terms and not model.stems:
         return model
@@ -358,7 +359,12 @@ def _sampled(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, l
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score and predicted of every whole text; a null text counts as empty."""
+    """doc_id, score and predicted of every whole text.
+
+    A null text counts as empty and scores like any text without a term. Rows that repeat a doc_id
+    or have none are scored each by its own text; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
+    """
     weights, harmless, automaton = model.weights, model.harmless, model.automaton()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,4 +379,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs.where(fold(F.col("doc_id"), 5) != 0), labels.where(fold(F.col("doc_id"), 5) != 0))
-    return score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0), "score", "predicted")
