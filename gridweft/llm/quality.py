@@ -1,8 +1,8 @@
-"""Quality classifier: non-negative positive-unlabelled learning on whole-text features."""
+"""Quality classifier: non-negative positive-unlabelled learning on whole-text features, over all texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,10 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import bounded_sample, clear_text, fold, table
+from gridweft.llm.common import clear_text, fold, held_out, stored, table
 from gridweft.llm.textkit import LOWER, SEPARATOR, Rolling, chunks, words
 
 THRESHOLD = 0.3
+#: Standard deviations at which features are cut, and the ridge of the fit.
+CLIP, PENALTY = 8.0, 0.1
+#: Bins of the histograms that give the class prior, and the share of positives it must rest on.
+BINS, PRIOR_SHARE = 1024, 0.3
+#: Tasks that add up what other tasks found.
+WAYS = 8
 #: Coarse byte classes; pairs of neighbours are counted as well.
 _CLASSES = 8
 
@@ -100,99 +106,71 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
     return np.concatenate([x, np.sqrt(x)], axis=1)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
 @dataclass
 class Model:
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
+    #: Weights of the constant and of the standardised features.
+    weights: np.ndarray
+    #: Share of label 1 among unlabelled texts, estimated without any label 0.
     prior: float
-    #: Slope and intercept that turn outputs into probabilities.
-    slope: float = 1.0
-    intercept: float = 0.0
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((_expand(x) - self.mean) / self.scale, -CLIP, CLIP)
+        return np.concatenate([np.ones((len(z), 1)), z], axis=1)
 
     def output(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((_expand(x) - self.mean) / self.scale, -8, 8)
-        return np.maximum(z @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        """The classifier g, between -1 and 1 where the fit is good; (g + 1) / 2 estimates the posterior."""
+        return self.design(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.output(x) + self.intercept)
+        """About the posterior around 1/2, drawn into (0, 1) without losing the order."""
+        return _sigmoid(2 * self.output(x))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+def fit_risk(p: np.ndarray, pp: np.ndarray, u: np.ndarray, uu: np.ndarray, prior: float, penalty: float = PENALTY) -> np.ndarray:
+    """Weights of the least non-negative unbiased risk under squared loss l(z) = (1 - z)^2 / 4.
 
+    p and u are the mean features of positives and of unlabelled texts, pp and uu the means of
+    their outer products: all that the risk of a linear classifier g depends on,
+    pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]) with pi the class prior. Its second part
+    estimates the risk of the negatives. Where the unbiased risk drives that below 0, it counts
+    with the greatest weight c in [0, 1] that leaves it at 0, which is the least of the maximum.
+    """
+    ridge = penalty * np.eye(len(u))
+    ridge[0, 0] = 0
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise the non-negative unbiased risk of a one-layer network with logistic loss.
+    def solve(c: float) -> tuple[np.ndarray, float]:
+        w = np.linalg.solve(prior * (1 - c) * pp + c * uu + ridge, prior * (1 + c) * p - c * u)
+        return w, (1 + 2 * w @ u + w @ uu @ w) / 4 - prior * (1 + 2 * w @ p + w @ pp @ w) / 4
 
-    With g the network, p positives, u unlabelled texts and pi the class prior, the risk is
-    pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]). Where the second part of a batch turns
-    negative, its gradient is followed the other way, so that the fit can't profit from it.
-    """
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([_expand(positive), _expand(unlabelled)]) if len(positive) + len(unlabelled) else np.zeros((1, 2 * WIDTH))
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    w = [rng.normal(0, np.sqrt(2 / both.shape[1]), (both.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
-    if len(positive) and len(unlabelled) and 0 < prior < 1:
-        p, u = (np.clip((_expand(x) - mean) / scale, -8, 8) for x in (positive, unlabelled))
-        moments = [[np.zeros_like(x), np.zeros_like(x)] for x in w]
-        steps, t = max(1, (len(p) + len(u)) // 512), 0
-        for epoch in range(epochs):
-            op, ou = rng.permutation(len(p)), rng.permutation(len(u))
-            for k in range(steps):
-                bp, bu = p[op[k::steps]], u[ou[k::steps]]
-                if not len(bp) or not len(bu):
-                    continue
-                x = np.concatenate([bp, bu])
-                a = np.maximum(x @ w[0] + w[1], 0)
-                g = a @ w[2] + w[3]
-                s, n = _sigmoid(g), len(bp)
-                negative = np.logaddexp(0, g[n:]).mean() - prior * np.logaddexp(0, g[:n]).mean()
-                d = np.zeros(len(x))
-                if negative >= 0:
-                    d[:n] = prior * (s[:n] - 1) / n - prior * s[:n] / n
-                    d[n:] = s[n:] / len(bu)
-                else:
-                    d[:n] = prior * s[:n] / n
-                    d[n:] = -s[n:] / len(bu)
-                hid = np.outer(d, w[2]) * (a > 0)
-                grads = [x.T @ hid + decay * w[0], hid.sum(axis=0), a.T @ d + decay * w[2], np.array([d.sum()])]
-                t += 1
-                step = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-                for v, m, gr in zip(w, moments, grads, strict=True):
-                    m[0] = 0.9 * m[0] + 0.1 * gr
-                    m[1] = 0.999 * m[1] + 0.001 * gr * gr
-                    v -= step * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8)
-    else:  # nothing to learn from: every text scores the prior
-        w[2][:] = 0
-        w[3][:] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
-    return Model(mean, scale, *w[:3], float(w[3][0]), prior)
-
-
-def calibrate(model: Model, positive: np.ndarray, negative: np.ndarray, rounds: int = 50) -> None:
-    """Set slope and intercept by a logistic fit of labels on outputs, both classes weighing alike.
-
-    The order of the scores stays that of the positive-unlabelled fit; without rows of either
-    class nothing changes.
+    w, negative = solve(1.0)
+    low, high = 0.0, 1.0
+    for _ in range(40 if negative < 0 else 0):
+        c = (low + high) / 2
+        w, negative = solve(c)
+        low, high = (low, c) if negative < 0 else (c, high)
+    return w
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from two histograms of a score over the same bins.
+
+    The share of unlabelled texts above a score is at least the prior times that of the positives,
+    so that the least quotient bounds the prior, and meets it where positives are alone. Scores
+    above which fewer than PRIOR_SHARE of the positives lie say too little.
     """
-    if not len(positive) or not len(negative):
-        return
-    g = np.concatenate([model.output(positive), model.output(negative)])
-    y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
-    weight = np.where(y == 1, 0.5 / len(positive), 0.5 / len(negative))
-    z, theta = np.stack([g, np.ones_like(g)], axis=1), np.array([1.0, 0.0])
-    for _ in range(rounds):
-        p = _sigmoid(z @ theta)
-        grad = z.T @ (weight * (p - y)) + 1e-3 * (theta - [1.0, 0.0])
-        theta = theta - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), grad)
-    if theta[0] > 0 and np.isfinite(theta).all():
-        model.slope, model.intercept = float(theta[0]), float(theta[1])
+    p, u = (np.cumsum(h[::-1]) / max(h.sum(), 1) for h in (positive, unlabelled))
+    ok = p >= PRIOR_SHARE
+    return float(np.clip((u[ok] / p[ok]).min(initial=1.0), 0.01, 0.99))
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
@@ -207,37 +185,85 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(run, "doc_id long, x array<float>")
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    found = rows.select("x").toArrow()["x"].combine_chunks()
-    return np.asarray(found.flatten() if isinstance(found, pa.ListArray) else pa.concat_arrays([c.flatten() for c in found.chunks] or [pa.array([], pa.float32())]), dtype=float).reshape(-1, WIDTH)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(-1, WIDTH)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: int = 12000, rejected: int = 4000) -> Model:
-    """Learn from trusted positives (label 1) and documents taken without their labels.
+def summed(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows (x, positive) of what ``part`` makes of a batch: ``size`` numbers.
 
-    The bounds hold for the rows whose features come to the driver; a hash of doc_id chooses
-    them. Labels 0 enter the estimate of the class prior and the final calibration of the scores
-    alone, never the risk.
+    Each task adds up its rows; what the tasks found is added up in two levels, so that the driver
+    gets WAYS rows however many tasks there are.
     """
-    labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-    total = docs.count()
-    trusted = bounded_sample(labels.where("quality = 1"), positives, n.get(1, 0)).select("doc_id")
-    known = bounded_sample(labels.where("quality = 0"), rejected, n.get(0, 0)).select("doc_id")
-    # about `positives` and `rejected` ids at most
-    p, r = (_matrix(feature_rows(docs.join(F.broadcast(x), "doc_id", "left_semi"))) for x in (trusted, known))
-    u = _matrix(feature_rows(bounded_sample(docs.withColumn("draw", F.col("doc_id") + F.lit(1_000_003)), unlabelled, total, "draw")))
-    model = fit_risk(p, u, prior)
-    calibrate(model, p, r)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += part(_matrix(batch.column("x")), batch.column("positive").to_numpy(zero_copy_only=False).astype(bool))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for x in batch.column("sums"):
+                total += np.frombuffer(x.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    out = rows.select("x", "positive").mapInArrow(first, "sums binary")
+    for ways in (WAYS * WAYS, WAYS):
+        out = out.repartition(ways, F.xxhash64("sums")).mapInArrow(again, "sums binary")
+    return sum((np.frombuffer(r["sums"]) for r in out.collect()), np.zeros(size))
+
+
+def fit(rows: DataFrame, labels: DataFrame) -> Model:
+    """Learn from trusted positives (label 1) and all other rows, taken without their labels.
+
+    rows has doc_id and x (``feature_rows``), stored, as it is read three times; labels has doc_id
+    and quality. All rows take part: means and spreads of the features, then the means of their
+    products, of which the risk is a function, then histograms of the scores, which give the class
+    prior. Labels 0 are never read. Without positives every text scores 1/2.
+    """
+    positives = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("positive", F.lit(True))
+    known = rows.join(positives, "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    width, d = 2 * WIDTH, 2 * WIDTH + 1
+
+    def spread(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        e = _expand(x)
+        return np.concatenate([[len(x), positive.sum()], e.sum(axis=0), (e * e).sum(axis=0)])
+
+    total = summed(known, spread, 2 + 2 * width)
+    n, n_positive = total[:2]
+    if not n_positive:
+        return Model(np.zeros(width), np.ones(width), np.zeros(d), 0.5)
+    mean = total[2 : 2 + width] / n
+    model = Model(mean, np.sqrt(np.maximum(total[2 + width :] / n - mean * mean, 0)) + 1e-3, np.zeros(d), 0.5)
+
+    def products(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        z = model.design(x)
+        p = z[positive]
+        return np.concatenate([z.T @ z, p.T @ p]).reshape(-1)
+
+    uu, pp = summed(known, products, 2 * d * d).reshape(2, d, d)
+    uu, pp = uu / n, pp / n_positive
+    # the first row of the products is that of the constant; the order of the scores does not depend on the prior
+    model.weights = fit_risk(pp[0], pp, uu[0], uu, 0.5)
+
+    def histogram(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        bins = np.clip((model.output(x) + 2) * (BINS / 4), 0, BINS - 1).astype(np.int64)
+        return np.concatenate([np.bincount(bins[positive], minlength=BINS), np.bincount(bins, minlength=BINS)]).astype(float)
+
+    model.prior = estimate_prior(*summed(known, histogram, 2 * BINS).reshape(2, BINS))
+    model.weights = fit_risk(pp[0], pp, uu[0], uu, model.prior)
     return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
     """Score every whole text: doc_id, score, predicted; with ``keep``, the documents that pass.
 
-    Null and empty texts are scored by their (zero) features. With ``keep``, all columns of the
-    input come back and no join is needed; columns named score or predicted don't clash.
+    Null and empty texts are scored by their (zero) features. Rows that repeat a doc_id or have
+    none are scored each by its own text. With ``keep``, all columns of the input come back and no
+    join is needed; columns named score or predicted don't clash. An empty table stays empty.
     """
     columns = docs.columns
     schema = docs.schema if keep else "doc_id long, score double, predicted int"
@@ -256,12 +282,27 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: boo
     return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(run, schema)
 
 
-def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    taught = lambda df: df.where(fold(F.col("doc_id"), 5) != 0)
-    return fit(taught(docs.select("doc_id", "text")), taught(labels))
+def taught(df: DataFrame) -> DataFrame:
+    return df.where(fold(F.col("doc_id"), 5) != 0)
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    return fit(stored(feature_rows(taught(docs.select("doc_id", "text"))), "features"), taught(labels))
+
+
+def scored(rows: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score and predicted of rows (doc_id, x)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = model.score(_matrix(batch.column("x")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = learned(spark, docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    """Each text is read once: its features are stored, and learning and scoring read these."""
+    rows = stored(feature_rows(table(spark, sf_dir, "documents")), "features")
+    model = fit(taught(rows), taught(table(spark, sf_dir, "labels")))
+    return scored(rows, model).select("doc_id", held_out(F.col("doc_id"), 5, 0), "score", "predicted")
