@@ -186,11 +186,13 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end: int |
     the text moved once and the much larger ids never. Stripes are the units of parallel reads;
     row indexes and Bloom filters on doc_id let a lookup skip stripes and row groups. Ids are
     encoded by ORC's integer run-length encoding. A null text is empty and has the end id alone;
-    documents that repeat a doc_id all get rows.
+    documents that repeat a doc_id all get rows, and those of null doc_id come first. A partition
+    is one file (offsets count from its start), so that no limit of records a file holds here. An
+    empty table makes a table without rows; other columns are ignored.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     writer = encoded(ordered, path or vocabulary_path(), end).write
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(stripe_bytes), "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(stripe_bytes), "compression": "zstd", "maxRecordsPerFile": "0"}
     writer.options(**options).orc(out)
 
 
