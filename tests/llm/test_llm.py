@@ -54,11 +54,42 @@ def test_exact(spark, awkward, nothing):
     norm = defaultdict(list)
     for k, x in texts_of(awkward):
         norm[re.sub(r"[\x20\x09-\x0D]+", " ", x)].append(k)
-    want = sorted((k, min(g), len(g), k == min(g), hashlib.sha256(x.encode()).hexdigest()) for x, g in norm.items() for k in g)
+    want = sorted((k, min(g), len(g), i == 0, hashlib.sha256(x.encode()).hexdigest()) for x, g in norm.items() for i, k in enumerate(sorted(g)))
     assert sorted(map(tuple, exact.exact_dedup(awkward).collect())) == want
-    assert exact.exact_dedup(nothing).count() == 0
+    assert exact.exact_dedup(nothing).count() == 0 and exact.without_copies(nothing).count() == 0
     kept = exact.without_copies(awkward)
-    assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()} == {min(g) for g in norm.values()}
+    assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in norm.values())
+
+
+#: Ids that repeat with equal and with other texts, and null ids.
+SHARED_IDS = [(1, "A"), (5, "A"), (5, "B"), (2, "C"), (2, "C"), (None, "C"), (None, "D"), (None, "D"), (9, "E"), (9, "E"), (3, None), (4, ""), (None, None)]
+
+
+def test_exact_with_shared_and_null_ids(spark):
+    rows = SHARED_IDS
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = defaultdict(list)
+    for k, x in rows:
+        groups[x or ""].append(k)
+    want = []
+    for x, g in groups.items():
+        ids = sorted(g, key=lambda k: (k is None, k))
+        want += [(k, ids[0], len(ids), i == 0, hashlib.sha256(x.encode()).hexdigest()) for i, k in enumerate(ids)]
+    assert sorted(map(str, (tuple(r) for r in exact.exact_dedup(df).collect()))) == sorted(map(str, want))
+    got = sorted((r.text or "", str(r.doc_id)) for r in exact.without_copies(df).collect())
+    assert got == sorted((x, str(sorted(g, key=lambda k: (k is None, k))[0])) for x, g in groups.items())
+
+
+def test_near_with_shared_and_null_ids(spark):
+    """Texts that share an id are told apart; of each group one row stays."""
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, a), (5, f"{a} zz"), (5, b), (7, f"{b} yy"), (2, "C"), (2, "C"), (None, a), (None, None), (8, ""), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(df).collect()), key=str)
+    want = [(1, 36, 1, True), (5, 37, 1, False), (5, 36, 5, True), (7, 37, 5, False), (2, 1, 2, True), (2, 1, 2, True), (None, 36, None, True), (None, 0, None, True), (8, 0, 8, True), (8, 0, 8, True)]
+    assert got == sorted(want, key=str)
+    kept = sorted((str(r.doc_id), r.text or "") for r in near.without_near_copies(df).collect())
+    assert kept == sorted([("1", a), ("5", b), ("2", "C"), ("None", a), ("None", ""), ("8", ""), ("8", "")])
 
 
 def test_tokens(spark, awkward, nothing, tmp_path):
@@ -364,7 +395,7 @@ def test_quotation_scores_less_than_abuse():
 
 def test_classifiers(spark, awkward, nothing):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for model in (quality.fit(nothing, empty), quality.fit(awkward, empty)):
+    for model in (quality.learned(nothing, empty), quality.learned(awkward, empty), quality.learned(awkward, empty.union(spark.createDataFrame([(4, 1, 0), (5, 0, 1), (6, 1, None)], empty.schema)))):
         got = quality.score(awkward, model).collect()
         assert len(got) == awkward.count() and all(0 <= r.score <= 1 for r in got)
     assert quality.score(nothing, model).count() == 0
@@ -378,6 +409,54 @@ def test_classifiers(spark, awkward, nothing):
     assert langid.predict(nothing, lang).count() == 0
 
 
+def test_risk_depends_on_means_over_all_rows(spark):
+    """Sums over many tasks are those of all rows, and the fit is the least of the risk itself."""
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(np.float32(v)) for v in rng.random(quality.WIDTH) * (1 + (k % 3 == 0))]) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, x array<float>").repartition(7)
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 150, 3)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    x = np.array([v for _, v in rows])
+    assert np.allclose(model.mean, quality._expand(x).mean(axis=0))
+    z = model.design(x)
+    p = z[:150:3]
+
+    def risk(w, prior):
+        loss = lambda m: ((1 - m) ** 2).mean() / 4
+        return prior * loss(p @ w) + max(0.0, loss(-(z @ w)) - prior * loss(-(p @ w))) + quality.PENALTY * (w[1:] @ w[1:]) / 4
+
+    for prior in (model.prior, 0.9):
+        w = quality.fit_risk(p.mean(axis=0), p.T @ p / len(p), z.mean(axis=0), z.T @ z / len(z), prior)
+        assert all(risk(w, prior) <= risk(w + rng.normal(0, s, len(w)), prior) + 1e-9 for s in (1e-3, 1e-2, 0.1) for _ in range(50))
+    assert quality.estimate_prior(np.array([0, 10.0]), np.array([60.0, 40.0])) == pytest.approx(0.4)
+
+
+def test_long_text_in_pieces(spark):
+    """The sums of a text read in pieces are those of the whole."""
+    rng = np.random.default_rng(9)
+    w = rng.normal(size=(3, len(langid.ORDERS) * langid.BUCKETS + 1)).astype(np.float32)
+    w[:, -1] = 0
+    raw = np.frombuffer(("héllo wörld 日本 😀 abc " * 300).encode(), np.uint8)
+    ends = np.array([0, len(raw)])
+    whole, letters = langid.text_sums(raw, ends, w)
+    for limit in (50, 777, 1000):
+        parts, n = langid.text_sums(raw, ends, w, limit)
+        assert np.allclose(whole, parts) and n == letters
+
+
+def test_long_word_in_little_memory():
+    """A word of 100,000 letters: the best score is Viterbi's, and what the search holds stays small."""
+    import tracemalloc
+
+    p = pieces.Pieces(tokens.vocabulary_path("piece_bpe_32k.model"))
+    word = "▁".encode() + bytes(np.random.default_rng(1).choice(list(b"abcdefghijklmnopqrstuvwxyz"), 100_000).astype(np.uint8))
+    tracemalloc.start()
+    found = pieces.n_best(p, word, 4)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    assert found[0][0] == pieces.Lattice(p, [word]).best()[2][0] and len(found) == 4
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r for r in table(spark, d, "labels").collect()}
