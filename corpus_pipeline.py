@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's input.
+
+Every stage takes rows whose doc_id repeats or is null as documents of their own, whole texts of
+any length, further columns of any names, and an empty table, of which it makes an empty one.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +17,20 @@ from gridweft.llm.quality import learned, score
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier accepts."""
-    return score(docs, learned(spark, docs, table(spark, sf_dir, "labels")), keep=True)
+    """Documents that the positive-unlabelled classifier accepts; null and empty texts are scored too."""
+    return score(docs, learned(docs, table(spark, sf_dir, "labels")), keep=True)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no earlier copy exists."""
+    """One document of each group of equal texts, that of the smallest doc_id; null counts as empty."""
     return without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Texts without words are near nothing and stay.
+    """
     return without_near_copies(docs)
 
 
@@ -49,7 +56,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", encode),
 ]
 
-#: SQL expresses neither the classifier nor the segmentation; tests hold each stage against brute force.
+#: SQL expresses neither the classifier nor the segmentation; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
