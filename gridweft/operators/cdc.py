@@ -8,12 +8,12 @@ sdc_declared, seq. A crossing has the columns of ``CROSSING``; ``cid`` numbers i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweft.functions import names
 from gridweft.operators.connect import small
-from gridweft.operators.graph import cut, follow
+from gridweft.operators.graph import Found, cut, follow, ranked, reach
 
 CROSSING = ["cid", "source_signal", "dest_signal", "source_domain", "dest_domain", "relationship", "category", "severity", "sync_type", "rule", "subrule", "waive_reason", "recommendation", "timing_basis_ns"]
 MAX_PULSE_HOPS = 6
@@ -69,12 +69,10 @@ def inferred_relations(sources: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(either, ["a_id", "b_id"], "left_anti").select("a_id", "b_id", F.lit("Divided").alias("relationship"), F.lit(False).alias("sdc_declared"))
 
 
-def propagate_clocks(seeds: DataFrame, port_map: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(hier_path, source_id): clock nets pushed down the port tree (parent_net, child_net), level by level."""
-    from gridweft.operators.graph import reach
-
+def propagate_clocks(seeds: DataFrame, port_map: DataFrame) -> DataFrame:
+    """(hier_path, source_id, depth): clock nets pushed down the port tree (parent_net, child_net), to its leaves."""
     edges = port_map.select(F.col("parent_net").alias("src"), F.col("child_net").alias("dst"))
-    found = reach(edges, seeds.select("source_id", F.col("hier_path").alias("node")), max_depth, ["source_id"])
+    found = reach(edges, seeds.select("source_id", F.col("hier_path").alias("node")), keys=["source_id"])
     return found.select(F.col("node").alias("hier_path"), "source_id", "depth")
 
 
@@ -275,13 +273,14 @@ def verify_pulse(rows: DataFrame, ffs: DataFrame, edges: DataFrame) -> DataFrame
     steps = full.where("NOT has_comb AND n_in <= 1").select("src_path", "dst_path")
     heads = rows.where(synced()).select(F.col("dest_signal").alias("head")).distinct()
     # a chain has a second register; what follows is bounded by MAX_PULSE_HOPS beyond the third
-    seen = frontier = cut(heads.select("head", F.col("head").alias("node")))
+    frontier = cut(heads.select("head", F.col("head").alias("node")))
+    seen = Found(frontier)
     for _ in range(MAX_PULSE_HOPS + 2):
-        frontier = cut(frontier.join(steps, F.col("node") == F.col("src_path")).select("head", F.col("dst_path").alias("node")).distinct().join(seen, ["head", "node"], "left_anti"))
+        frontier = cut(frontier.join(steps, F.col("node") == F.col("src_path")).select("head", F.col("dst_path").alias("node")).distinct().join(seen.all(), ["head", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    taken = seen.join(full.where("n_in >= 2"), F.col("node") == F.col("src_path")).groupBy("head", "dst_path").agg(F.countDistinct("node").alias("inputs")).where("inputs >= 2")
+        seen.add(frontier)
+    taken = seen.all().join(full.where("n_in >= 2"), F.col("node") == F.col("src_path")).groupBy("head", "dst_path").agg(F.countDistinct("node").alias("inputs")).where("inputs >= 2")
     good = taken.select(F.col("head").alias("dest_signal"), F.lit(True).alias("pulses")).distinct()
     out = rows.join(good, "dest_signal", "left")
     return _set(out, F.coalesce(F.col("pulses") & synced(), F.lit(False)), recommendation="pulse synchronizer", sync_type="pulse").select(*CROSSING)
@@ -385,7 +384,8 @@ def category_counts(rows: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Rows with an id of their category and rank in it, such as CAUTION-2."""
-    return rows.withColumn("id", F.concat_ws("-", "category", F.row_number().over(Window.partitionBy("category").orderBy("source_signal", "dest_signal", "cid"))))
+    found = ranked(rows, ["source_signal", "dest_signal", "cid"], ["category"])
+    return found.select(*rows.columns, F.concat_ws("-", "category", "rank").alias("id"))
 
 
 def registers_per_domain(ffs: DataFrame) -> DataFrame:

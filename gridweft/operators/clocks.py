@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweft.functions import names
 from gridweft.operators.connect import small
-from gridweft.operators.graph import cut
+from gridweft.operators.graph import Found, cut
 
 SOURCE = ["source_id", "name", "type", "origin_signal", "master_id", "divide_by"]
 
@@ -105,12 +105,12 @@ def register_edges(ffs: DataFrame, assigns: DataFrame) -> DataFrame:
     inputs = ffs.select(F.col("hier_path").alias("dst_path"), names.parent_of(F.col("hier_path")).alias("scope_path"), F.explode("fanin").alias("signal"))
     named = resolve_names(inputs, signals)
     frontier = cut(inputs.join(named, ["scope_path", "signal"]).select("dst_path", "path", F.lit(False).alias("has_comb")).distinct())
-    seen = frontier
+    seen = Found(frontier)
     while not frontier.isEmpty():
         step = frontier.join(hops, F.col("path") == F.col("lhs")).select("dst_path", F.col("next").alias("path"), (F.col("has_comb") | F.col("logic")).alias("has_comb")).groupBy("dst_path", "path").agg(F.bool_or("has_comb").alias("has_comb"))
-        frontier = cut(step.join(seen.select("dst_path", "path"), ["dst_path", "path"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    found = seen.join(regs, "path", "left_semi")
+        frontier = cut(step.join(seen.all().select("dst_path", "path"), ["dst_path", "path"], "left_anti"))
+        seen.add(frontier)
+    found = seen.all().join(regs, "path", "left_semi")
     return found.groupBy(F.col("path").alias("src_path"), "dst_path").agg(F.bool_or("has_comb").alias("has_comb"))
 
 

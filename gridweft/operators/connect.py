@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweft.functions import names
-from gridweft.operators.graph import components, cut
+from gridweft.operators.graph import Found, components, cut
 
 ISSUE = ["type", "severity", "instance", "port", "source", "dest", "detail"]
 #: Weights of errors and warnings in an instance's health (fixed values).
@@ -338,13 +338,14 @@ def trace(connections: DataFrame, pattern: str, direction: str = "out", max_dept
     """
     near, far = ("source", "dest") if direction == "out" else ("dest", "source")
     links = cut(connections.select("source_path", "dest_path", "source_instance", "dest_instance").distinct())
-    seen = frontier = cut(links.where(names.glob_match(F.col(f"{near}_path"), F.lit(pattern))).withColumn("depth", F.lit(0)))
+    frontier = cut(links.where(names.glob_match(F.col(f"{near}_path"), F.lit(pattern))).withColumn("depth", F.lit(0)))
+    seen = Found(frontier)
     keys = ["source_path", "dest_path"]
     for depth in range(1, max_depth + 1):
         at = frontier.select(F.col(f"{far}_instance").alias(f"{near}_instance")).distinct()
-        step = links.join(at, f"{near}_instance", "left_semi").join(seen, keys, "left_anti")
+        step = links.join(at, f"{near}_instance", "left_semi").join(seen.all(), keys, "left_anti")
         frontier = cut(step.select(*links.columns).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.all()

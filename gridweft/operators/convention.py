@@ -92,7 +92,7 @@ def reachable_modules(instantiates: DataFrame, top: str) -> DataFrame:
     """Modules that top instantiates, itself included, with their distance."""
     edges = instantiates.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
     seed = instantiates.sparkSession.createDataFrame([(top,)], "node string")
-    return reach(edges, seed, 1_000).select(F.col("node").alias("module"), "depth")
+    return reach(edges, seed).select(F.col("node").alias("module"), "depth")
 
 
 def admitted_files(modules: DataFrame, reachable: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweft.functions import names
 from gridweft.operators import cdc, clocks, connect
-from gridweft.operators.graph import cut, follow
+from gridweft.operators.graph import Found, cut, follow
 
 MAX_LEVELS = 64
 
@@ -21,16 +21,17 @@ def instance_tree(statements: DataFrame, top: str, max_depth: int = -1) -> DataF
     below = cut(statements.where("kind = 'instance'").select(F.col("module").alias("parent_module"), F.col("name").alias("child"), F.col("target").alias("child_module"), F.col("seq").alias("n")))
     none = F.lit(None).cast("string")
     first = statements.where((F.col("kind") == "module") & (F.col("name") == top)).limit(1)
-    found = frontier = cut(first.select(F.col("name").alias("path"), "name", none.alias("parent_path"), F.col("name").alias("module"), F.lit(0).alias("depth"), F.lit(0).alias("seq")))
+    frontier = cut(first.select(F.col("name").alias("path"), "name", none.alias("parent_path"), F.col("name").alias("module"), F.lit(0).alias("depth"), F.lit(0).alias("seq")))
+    found = Found(frontier)
     for depth in range(1, (MAX_LEVELS if max_depth < 0 else max_depth) + 1):
         step = frontier.join(below, F.col("module") == F.col("parent_module"))
         frontier = cut(step.select(F.concat_ws(".", "path", "child").alias("path"), F.col("child").alias("name"), F.col("path").alias("parent_path"), F.col("child_module").alias("module"), F.lit(depth).alias("depth"), F.col("n").alias("seq")))
         if frontier.isEmpty():
-            return found
-        found = cut(found.unionByName(frontier))
+            return cut(found.all())
+        found.add(frontier)
     if max_depth < 0:
         raise ValueError(f"the hierarchy is deeper than {MAX_LEVELS} levels; a module may hold itself")
-    return found
+    return cut(found.all())
 
 
 def _of(statements: DataFrame, kind: str, instances: DataFrame) -> DataFrame:

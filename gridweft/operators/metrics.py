@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweft.operators.graph import cut
+from gridweft.operators.graph import cut, reach
 
 MAX_DEPTH = 256
 
@@ -35,18 +35,12 @@ def cones(nodes: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> tup
     """
     edges = cut(driver_edges(nodes))
     keys = ["root_id", "root_kind"]
-    seen = frontier = cut(roots.select(*keys, "signal").distinct().withColumn("depth", F.lit(0)))
-    found = cut(frontier.join(edges.select("signal", "node_id").distinct(), "signal").select(*keys, "node_id", "depth"))
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, "signal").where("input IS NOT NULL").select(*keys, F.col("input").alias("signal")).distinct()
-        frontier = cut(step.join(seen, [*keys, "signal"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-        found = found.unionByName(frontier.join(edges.select("signal", "node_id").distinct(), "signal").select(*keys, "node_id", "depth"))
-    driven = edges.select("signal").distinct().withColumn("driven", F.lit(True))
-    signals = seen.join(driven, "signal", "left").select(*keys, "signal", "depth", F.coalesce("driven", F.lit(False)).alias("driven"))
-    return found.groupBy(*keys, "node_id").agg(F.min("depth").alias("depth")), signals
+    steps = edges.where("input IS NOT NULL").select(F.col("signal").alias("src"), F.col("input").alias("dst"))
+    seen = reach(steps, roots.select(*keys, F.col("signal").alias("node")), max_depth, keys).withColumnRenamed("node", "signal")
+    drivers = edges.groupBy("signal").agg(F.collect_set("node_id").alias("nodes"))
+    signals = cut(seen.join(drivers, "signal", "left").select(*keys, "signal", "depth", F.col("nodes").isNotNull().alias("driven"), "nodes"))
+    found = signals.where("driven").select(*keys, F.explode("nodes").alias("node_id"), "depth")
+    return cut(found.groupBy(*keys, "node_id").agg(F.min("depth").alias("depth"))), signals.drop("nodes")
 
 
 def signature(df: DataFrame) -> DataFrame:

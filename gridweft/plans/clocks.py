@@ -53,9 +53,9 @@ def unsafe(spark, d):
     return k.unsafe_clocks(sources, assigns, e.where("event_id % 7 = 0").select(name.alias("signal")))
 
 
-@query("e16_register_edges", "SELECT 'a.r' || (event_id // 2) AS src_path, 'a.r' || event_id AS dst_path, event_id % 3 = 0 AND event_id % 2 = 0 AS has_comb FROM events WHERE event_id > 1 AND event_id < 2000")
+@query("e16_register_edges", "SELECT 'a.r' || (event_id // 2) AS src_path, 'a.r' || event_id AS dst_path, event_id % 3 = 0 AND event_id % 2 = 0 AS has_comb FROM events WHERE event_id > 1")
 def edges(spark, d):
-    e = t(spark, d, "events").where("event_id > 0 AND event_id < 2000")
+    e = t(spark, d, "events").where("event_id > 0")
     ffs = e.select(F.expr("concat('a.r', event_id)").alias("hier_path"), F.when(F.col("event_id") % 3 == 0, F.array(F.expr("concat('w', event_id)"))).otherwise(F.array(F.expr("concat('r', event_id div 2, '[0]')"))).alias("fanin"))
     assigns = e.where("event_id % 3 = 0").select(F.expr("concat('a.w', event_id)").alias("lhs"), F.array(F.expr("concat('a.r', event_id div 2)")).alias("rhs"), F.when(F.col("event_id") % 2 == 0, "binary").otherwise("alias").alias("op"), F.lit("assign").alias("kind"), F.lit(0).alias("seq"))
     return k.register_edges(ffs, assigns)

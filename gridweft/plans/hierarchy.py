@@ -20,10 +20,12 @@ def _tree(spark, d):
 _TREE = "tree AS (SELECT 'c' || (c_custkey // 4) AS parent_net, 'c' || c_custkey AS child_net FROM customer WHERE c_custkey >= 4)"
 
 
-@query("k3_propagated_clocks", f"WITH RECURSIVE {_TREE}, r AS (SELECT 'k' || c_custkey AS source_id, 'c' || c_custkey AS hier_path, 0 AS depth FROM customer WHERE c_custkey <= 2 UNION ALL SELECT source_id, child_net, depth + 1 FROM r JOIN tree ON parent_net = hier_path WHERE depth < 4) SELECT * FROM r")
+@query("k3_propagated_clocks", f"WITH RECURSIVE {_TREE}, r AS (SELECT 'k' || c_custkey AS source_id, 'c' || c_custkey AS hier_path, 0 AS depth FROM customer WHERE 'c' || c_custkey NOT IN (SELECT child_net FROM tree) UNION ALL SELECT source_id, child_net, depth + 1 FROM r JOIN tree ON parent_net = hier_path) SELECT * FROM r")
 def propagated(spark, d):
-    seeds = t(spark, d, "customer").where("c_custkey <= 2").select(F.expr("concat('k', c_custkey)").alias("source_id"), F.expr("concat('c', c_custkey)").alias("hier_path"))
-    return cdc.propagate_clocks(seeds, _tree(spark, d), 4)
+    """Clocks enter at the nets that no other net drives."""
+    tree = _tree(spark, d)
+    nets = t(spark, d, "customer").select(F.expr("concat('k', c_custkey)").alias("source_id"), F.expr("concat('c', c_custkey)").alias("hier_path"))
+    return cdc.propagate_clocks(nets.join(tree.select(F.col("child_net").alias("hier_path")), "hier_path", "left_anti"), tree)
 
 
 @query("k4_unified_clocks", f"WITH {_TREE} SELECT DISTINCT 'autodetected_' || parent_net AS source_id, parent_net AS name FROM tree WHERE substr(child_net, 2)::INT % 5 = 0 AND substr(parent_net, 2)::INT % 3 <> 0")

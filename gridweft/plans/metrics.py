@@ -9,25 +9,27 @@ from gridweft.plans.facts import NODES, expression_nodes
 from gridweft.plans.registry import query, t
 
 
-def _roots(spark):
-    return spark.createDataFrame([(f"s{k}", "output" if k % 2 else "ff_d", f"s{k}") for k in range(1, 8)], "root_id string, root_kind string, signal string")
+def _roots(spark, d):
+    """Every signal of the tree but its top: odd events are outputs, even ones inputs of registers."""
+    name = F.concat(F.lit("s"), F.col("event_id").cast("string"))
+    return t(spark, d, "events").where("event_id > 0").select(name.alias("root_id"), F.when(F.col("event_id") % 2 == 1, "output").otherwise("ff_d").alias("root_kind"), name.alias("signal"))
 
 
-_CONE = f"""WITH RECURSIVE {NODES}, roots(k) AS (SELECT unnest(range(1, 8))), walk(k, signal, depth) AS (
+_CONE = f"""WITH RECURSIVE {NODES}, roots(k) AS (SELECT event_id FROM events WHERE event_id > 0), walk(k, signal, depth) AS (
   SELECT k, 's' || k, 0 FROM roots UNION ALL SELECT k, input, depth + 1 FROM walk JOIN nodes ON output = signal WHERE depth < 256
 ), cone AS (SELECT k, n.*, depth, op_kind || ':' || op_detail || ':' || bit_width || ':1' AS sig FROM walk JOIN nodes n ON n.output = walk.signal)"""
 
 
 def _cones(spark, d):
     nodes = expression_nodes(spark, d)
-    return (*m.cones(nodes, _roots(spark)), nodes)
+    return (*m.cones(nodes, _roots(spark, d)), nodes)
 
 
 @query(
     "g3_cone_summary",
     f"""{_CONE}, a AS (SELECT k, count(*) AS raw, count(DISTINCT sig) AS unique_ops, count_if(approximate) AS n_approximate FROM cone GROUP BY k),
 b AS (SELECT k, count_if(signal NOT IN (SELECT output FROM nodes)) AS n_sources, max(depth) AS depth FROM walk GROUP BY k)
-SELECT 's' || k AS root_id, n_sources::BIGINT AS n_sources, depth::INT AS depth, raw, unique_ops, n_approximate::BIGINT AS n_approximate FROM b JOIN a USING (k)""",
+SELECT 's' || k AS root_id, n_sources::BIGINT AS n_sources, depth::INT AS depth, coalesce(raw, 0) AS raw, coalesce(unique_ops, 0) AS unique_ops, coalesce(n_approximate, 0)::BIGINT AS n_approximate FROM b LEFT JOIN a USING (k)""",
 )
 def cone_summary(spark, d):
     cone, signals, nodes = _cones(spark, d)
@@ -59,25 +61,23 @@ def merged(spark, d):
     return m.merged_groups(m.normalize(cone, nodes)[1])
 
 
-@query("g4_ff_paths", f"{_CONE} SELECT DISTINCT 'r' || (substr(input, 2)::INT // 100) AS source, 's' || k AS dest FROM cone WHERE k % 2 = 0 AND substr(input, 2)::INT % 100 = 0")
+@query("g4_ff_paths", f"{_CONE} SELECT DISTINCT input AS source, 's' || k AS dest FROM cone WHERE k % 2 = 0 AND substr(input, 2)::INT % 2 = 0")
 def paths(spark, d):
     cone, _, nodes = _cones(spark, d)
-    e = t(spark, d, "events").where("event_id % 100 = 0 AND event_id > 0")
-    q = e.select(F.expr("concat('r', event_id div 100)").alias("name"), F.expr("concat('s', event_id)").alias("q_signal"), F.lit("").alias("d_signal"))
-    roots = _roots(spark).where("root_kind = 'ff_d'").select(F.col("root_id").alias("name"), F.lit("none").alias("q_signal"), F.col("signal").alias("d_signal"))
-    return m.ff_paths(cone, nodes, q.unionByName(roots))
+    registers = _roots(spark, d).where("root_kind = 'ff_d'").select(F.col("root_id").alias("name"), F.col("signal").alias("q_signal"), F.col("signal").alias("d_signal"))
+    return m.ff_paths(cone, nodes, registers)
 
 
-_SUMMARY = "SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'output' ELSE 'ff_d' END AS root_kind, 'r' || l_orderkey % 500 AS root_id, count(*)::INT AS raw, max(l_linenumber)::INT AS depth, count(DISTINCT l_suppkey)::INT AS norm FROM lineitem WHERE l_orderkey % 3 {0} GROUP BY ALL"
+_SUMMARY = "SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'output' ELSE 'ff_d' END AS root_kind, 'r' || l_orderkey % 500 AS root_id, count(*)::INT AS raw, max(l_linenumber)::INT AS depth, count(DISTINCT l_suppkey)::INT AS norm FROM lineitem {0} GROUP BY ALL"
 
 
-def _summary(spark, d, keep):
+def _summary(spark, d, keep="true"):
     item = t(spark, d, "lineitem").where(keep)
     kind = F.when(F.col("l_linenumber") % 2 == 0, "output").otherwise("ff_d")
     return item.groupBy(kind.alias("root_kind"), F.expr("concat('r', l_orderkey % 500)").alias("root_id")).agg(F.count(F.lit(1)).cast("int").alias("raw"), F.max("l_linenumber").cast("int").alias("depth"), F.countDistinct("l_suppkey").cast("int").alias("norm"))
 
 
-_DIFF = f"""WITH b AS (SELECT * FROM ({_SUMMARY.format("< 2")}) WHERE raw % 5 <> 0), c AS (SELECT * FROM ({_SUMMARY.format("> 0")}) WHERE raw % 7 <> 0), x AS (
+_DIFF = f"""WITH b AS (SELECT * FROM ({_SUMMARY.format("WHERE l_orderkey % 3 < 2")}) WHERE raw % 5 <> 0), c AS (SELECT * FROM ({_SUMMARY.format("WHERE l_orderkey % 3 > 0")}) WHERE raw % 7 <> 0), x AS (
 SELECT root_kind, root_id, CASE WHEN b.raw IS NULL THEN 'new' WHEN c.raw IS NULL THEN 'removed' WHEN c.raw > b.raw THEN 'regression' WHEN c.raw < b.raw THEN 'improvement' ELSE 'same' END AS change,
 coalesce(c.raw, 0) - coalesce(b.raw, 0) AS d_raw, coalesce(c.depth, 0) - coalesce(b.depth, 0) AS d_depth, coalesce(c.norm, 0) - coalesce(b.norm, 0) AS d_norm FROM c FULL JOIN b USING (root_kind, root_id))"""
 
@@ -96,14 +96,14 @@ def diff_totals(spark, d):
     return m.diff_totals(_diff(spark, d))
 
 
-@query("o5_top_roots", f"SELECT * FROM ({_SUMMARY.format('> 0')}) ORDER BY raw DESC, root_kind, root_id LIMIT 20")
+@query("o5_top_roots", f"SELECT * FROM ({_SUMMARY.format('')}) ORDER BY raw DESC, root_kind, root_id LIMIT 20")
 def top(spark, d):
-    return m.top_roots(_summary(spark, d, "l_orderkey % 3 > 0"), 20)
+    return m.top_roots(_summary(spark, d), 20)
 
 
-@query("a24_totals", f"SELECT sum(raw)::BIGINT AS raw, sum(norm)::BIGINT AS norm, max(raw) FILTER (root_kind = 'output') AS max_output, max(raw) FILTER (root_kind = 'ff_d') AS max_ff_d FROM ({_SUMMARY.format('> 0')})")
+@query("a24_totals", f"SELECT sum(raw)::BIGINT AS raw, sum(norm)::BIGINT AS norm, max(raw) FILTER (root_kind = 'output') AS max_output, max(raw) FILTER (root_kind = 'ff_d') AS max_ff_d FROM ({_SUMMARY.format('')})")
 def totals(spark, d):
-    return m.totals(_summary(spark, d, "l_orderkey % 3 > 0"))
+    return m.totals(_summary(spark, d))
 
 
 @query("a25_unsupported_events", "WITH e AS (SELECT event_type AS kind, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'e' || event_id ELSE '' END AS detail FROM events), s AS (SELECT kind, detail, seq, row_number() OVER (PARTITION BY kind ORDER BY seq) AS k FROM e WHERE detail <> '') SELECT kind, (SELECT count(*) FROM e WHERE e.kind = s.kind) AS n, string_agg(detail, ',' ORDER BY seq) AS samples FROM s WHERE k <= 3 GROUP BY kind")

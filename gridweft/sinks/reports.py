@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweft.functions import names
+from gridweft.operators.graph import ranked
 
 DEFAULT_PERIOD = "10.0"
 
@@ -139,12 +140,9 @@ def sva_lines(rows: DataFrame) -> DataFrame:
 
 def waiver_template(rows: DataFrame) -> DataFrame:
     """YAML entries WAIVE-001, ... for violations."""
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.orderBy("source_signal", "dest_signal"))
-    bad = rows.where("category = 'VIOLATION'").select("source_signal", "dest_signal").withColumn("k", k)
+    bad = ranked(rows.where("category = 'VIOLATION'").select("source_signal", "dest_signal"), ["source_signal", "dest_signal"], name="k")
     entry = F.format_string('  - id: WAIVE-%03d\n    crossing: "%s -> %s"\n    reason: "TODO"\n    owner: "TODO"', "k", "source_signal", "dest_signal")
-    return bad.select(F.col("k").alias("seq"), entry.alias("line"))
+    return bad.select(F.col("k").cast("int").alias("seq"), entry.alias("line"))
 
 
 def exit_code(mode: str, counts: dict[str, int], strict: bool = False, regressions: int = 0, fail_on_regression: bool = False) -> int:
