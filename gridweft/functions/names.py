@@ -20,6 +20,11 @@ HANDSHAKE_OR_GRAY = ("gray", "gry", "req", "ack", "valid", "ready", "start", "do
 FIFO_POINTERS = ("ptr", "addr", "wr_ptr", "rd_ptr", "wptr", "rptr", "fifo")
 QUASI_STATIC = ("cfg_", "config_", "mode_", "static_")
 FIFO_WRAP = ("depth", "size", "entries")
+# Known synchronizer cells and their registers (fixed values).
+HANDSHAKE_CELL, HANDSHAKE_PAIRS = "isochronous_4phase_handshake", (("src_req_q", "dst_req_q"), ("dst_ack_q", "src_ack_q"))
+SYNCREG_CELL, SYNCREG_PAIR = "syncreg", ("regA", "regB")
+# Names of a clock gate's outputs (fixed values).
+GATE_OUTPUTS = ("q", "gclk", "clk_out", "eclk")
 
 
 def word_pattern(words: tuple[str, ...], boundary: str) -> str:
@@ -100,12 +105,6 @@ def trailing_star_match(text: Column, pattern: Column) -> Column:
     return F.when(pattern.endswith("*"), text.startswith(F.regexp_replace(pattern, r"\*$", ""))).otherwise(text == pattern)
 
 
-def has_suffix_signal(port: Column, signal: Column) -> Column:
-    """The port's name ends with the signal, at its start or after an underscore; case-insensitive."""
-    p, s = F.upper(port), F.upper(signal)
-    return (p == s) | p.endswith(F.concat(F.lit("_"), s))
-
-
 MAX_PATTERN = 256
 
 

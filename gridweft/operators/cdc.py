@@ -1,7 +1,7 @@
 """Clock-domain crossings: clocks and their relations, detection, and the verification phases.
 
 Registers (ffs) are hier_path, source_id, edge, width, fanin ARRAY, reset_path, reset_async, seq;
-their domain is (source_id, edge). Edges (ff_edges) are src_path, dst_path, has_comb, seq. Sources
+their domain is (source_id, edge); the cell or module that holds one is its primitive, where that is known. Edges (ff_edges) are src_path, dst_path, has_comb, seq. Sources
 are source_id, name, origin_signal, master_id, period_ns. Relations are a_id, b_id, relationship,
 sdc_declared, seq. A crossing has the columns of ``CROSSING``; ``cid`` numbers its rows.
 """
@@ -33,6 +33,27 @@ def auto_clocks(ports: DataFrame, defined: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("auto_"), F.col("port_name")).alias("source_id"), F.col("port_name").alias("name"), F.lit("AutoDetected").alias("type"), F.col("port_name").alias("origin_signal"), F.lit(None).cast("string").alias("master_id"), F.lit(None).cast("double").alias("period_ns"))
 
 
+def constraint_sources(clocks: DataFrame, generated: DataFrame) -> DataFrame:
+    """Clock sources of the tables of ``sources.sdc``: primary and generated ones, with their masters.
+
+    clocks has name, period_ns, target; generated has name, source, target, divide_by, multiply_by,
+    invert, in the file's order (column seq of both, if it matters). A generated clock's master is
+    the first primary source, else the first generated one before it, that has its source as target
+    or as name.
+    """
+    none = F.lit(None)
+    at = lambda df: F.col("seq") if "seq" in df.columns else F.monotonically_increasing_id()
+    first = clocks.select(F.concat(F.lit("sdc_"), "name").alias("source_id"), "name", F.lit("Primary").alias("type"), F.col("target").alias("origin_signal"), none.cast("string").alias("master_id"), "period_ns", F.lit(1).alias("divide_by"), F.lit(1).alias("multiply_by"), F.lit(False).alias("invert"), F.lit(0).alias("rank"), at(clocks).alias("seq"))
+    rest = cut(generated.select(F.concat(F.lit("sdc_gen_"), "name").alias("source_id"), "name", F.lit("Generated").alias("type"), F.col("target").alias("origin_signal"), none.cast("double").alias("period_ns"), "divide_by", "multiply_by", "invert", F.lit(1).alias("rank"), at(generated).alias("seq"), "source"))
+    first = cut(first)
+    known = first.select("source_id", "name", "origin_signal", "rank", "seq").unionByName(rest.select("source_id", "name", "origin_signal", "rank", "seq"))
+    keys = known.select(F.struct("rank", "seq", "source_id").alias("m"), F.explode(F.array_distinct(F.array("name", "origin_signal"))).alias("source"))
+    wanted = rest.select("source_id", "source", F.struct("rank", "seq").alias("own")).join(keys, "source").where("m.rank < own.rank OR m.seq < own.seq")
+    masters = wanted.groupBy("source_id").agg(F.min("m").alias("m")).select("source_id", F.col("m.source_id").alias("master_id"))
+    both = first.unionByName(rest.join(masters, "source_id", "left").drop("source"))
+    return both.drop("rank")
+
+
 def master_roots(sources: DataFrame) -> DataFrame:
     """(source_id, root): the end of each chain of masters."""
     found = follow(sources.select(F.col("source_id").alias("node"), F.col("master_id").alias("next")))
@@ -47,7 +68,7 @@ def declared_relations(groups: DataFrame, sources: DataFrame) -> DataFrame:
     ids = sources.select(F.col("name").alias("clock"), "source_id")
     rows = groups.join(ids, "clock")
     n = groups.groupBy("stmt").agg(F.max("group_no").alias("last"))
-    rows = rows.join(small(n), "stmt")
+    rows = rows.join(n, "stmt")
     other = rows.select("stmt", F.col("group_no").alias("g2"), F.col("source_id").alias("b_id"))
     across = rows.join(other, "stmt").where("group_no < g2").select(F.col("source_id").alias("a_id"), "b_id", F.col("kind").alias("relationship"))
     alone = rows.where("last = 0")
@@ -60,8 +81,8 @@ def declared_relations(groups: DataFrame, sources: DataFrame) -> DataFrame:
 def inferred_relations(sources: DataFrame, known: DataFrame) -> DataFrame:
     """Relations of pairs without one: Divided if they share a root, else Asynchronous.
 
-    Pairs of a root come from a join on it; all pairs of different roots are not listed, as an
-    absent relation means Asynchronous. ``pairs`` gives them where a small design wants the list.
+    Pairs of a root come from a join on it; pairs of different roots are not listed, as an absent
+    relation means Asynchronous.
     """
     roots = sources.join(master_roots(sources), "source_id").select("source_id", "root")
     pairs = roots.select(F.col("source_id").alias("a_id"), "root").join(roots.select(F.col("source_id").alias("b_id"), "root"), "root").where("a_id < b_id")
@@ -102,14 +123,16 @@ def detect_crossings(edges: DataFrame, ffs: DataFrame, sources: DataFrame, relat
 
     gated holds the source_ids of gated nets. Unknown relations count as asynchronous.
     """
-    reg = lambda side: ffs.where("source_id IS NOT NULL").select(F.col("hier_path").alias(f"{side}_path"), F.col("source_id").alias(f"{side}_id"), F.col("edge").alias(f"{side}_edge"))
-    src = lambda side: small(sources.select(F.col("source_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("period_ns").alias(f"{side}_period")))
+    cell = F.lower("primitive") if "primitive" in ffs.columns else F.lit(None).cast("string")
+    reg = lambda side: ffs.where("source_id IS NOT NULL").select(F.col("hier_path").alias(f"{side}_path"), F.col("source_id").alias(f"{side}_id"), F.col("edge").alias(f"{side}_edge"), cell.alias(f"{side}_cell"))
+    origin = F.when(F.coalesce("origin_signal", F.lit("")) != "", F.col("origin_signal")).otherwise(F.col("name"))
+    src = lambda side: sources.select(F.col("source_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), origin.alias(f"{side}_origin"), F.col("period_ns").alias(f"{side}_period"))
     rows = edges.join(reg("src"), "src_path").join(reg("dst"), "dst_path").where("src_id <> dst_id OR src_edge <> dst_edge")
     rows = rows.join(src("src"), "src_id", "left").join(src("dst"), "dst_id", "left")
-    look = small(relation_lookup(relations).select(F.col("a_id").alias("src_id"), F.col("b_id").alias("dst_id"), "relationship", "sdc_declared"))
+    look = relation_lookup(relations).select(F.col("a_id").alias("src_id"), F.col("b_id").alias("dst_id"), "relationship", "sdc_declared")
     rows = rows.join(look, ["src_id", "dst_id"], "left")
-    rows = rows.join(small(false_paths.select(F.col("from_clk").alias("src_name"), F.col("to_clk").alias("dst_name"), F.lit(True).alias("is_false")).distinct()), ["src_name", "dst_name"], "left")
-    gate = lambda side: small(gated.select(F.col("source_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_gated")).distinct())
+    rows = rows.join(false_paths.select(F.col("from_clk").alias("src_name"), F.col("to_clk").alias("dst_name"), F.lit(True).alias("is_false")).distinct(), ["src_name", "dst_name"], "left")
+    gate = lambda side: gated.select(F.col("source_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_gated")).distinct()
     rows = rows.join(gate("src"), "src_id", "left").join(gate("dst"), "dst_id", "left")
     same = F.col("src_id") == F.col("dst_id")
     relation = F.when(same, "SameSource").otherwise(F.col("relationship"))
@@ -118,9 +141,9 @@ def detect_crossings(edges: DataFrame, ffs: DataFrame, sources: DataFrame, relat
     leaf = lambda side: names.short_name(F.col(f"{side}_path"))
     inside = names.parent_of(F.col("src_path")) == names.parent_of(F.col("dst_path"))
     pair = lambda a, b: (leaf("src") == a) & (leaf("dst") == b)
-    cell = F.lower(names.parent_of(F.col("src_path")))
-    handshake = inside & cell.contains("isochronous_4phase_handshake") & (pair("src_req_q", "dst_req_q") | pair("dst_ack_q", "src_ack_q"))
-    syncreg = inside & cell.contains("syncreg") & pair("regA", "regB")
+    known = lambda name: F.coalesce(inside & (F.col("src_cell") == name) & (F.col("dst_cell") == name), F.lit(False))
+    handshake = known(names.HANDSHAKE_CELL) & (pair(*names.HANDSHAKE_PAIRS[0]) | pair(*names.HANDSHAKE_PAIRS[1]))
+    syncreg = known(names.SYNCREG_CELL) & pair(*names.SYNCREG_PAIR)
     async_ = ~same & (F.col("rel").isNull() | (F.col("rel") == "Asynchronous"))
     result = lambda category, severity, sync, waive: F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(sync).alias("sync_type"), F.lit(waive).cast("string").alias("waive_reason"))
     ladder = (
@@ -138,6 +161,8 @@ def detect_crossings(edges: DataFrame, ffs: DataFrame, sources: DataFrame, relat
         .when(F.col("c.category") == "VIOLATION", F.concat(F.lit("insert a two-register synchronizer at "), F.col("dst_path")))
         .otherwise("review the timing assumptions of this crossing")
     )
+    odd = F.filter(F.array("src_origin", "dst_origin"), lambda x: x.isNotNull() & ~names.is_cdc_clock(x))
+    text = F.concat(text, F.when(F.size(odd) > 0, F.concat(F.lit(f"; clock names without any of {', '.join(names.CDC_CLOCKS)}: "), F.array_join(odd, ", "))).otherwise(""))
     out = rows.withColumn("c", ladder).select(
         F.concat_ws("#", "src_path", "dst_path", "seq").alias("cid"), F.col("src_path").alias("source_signal"), F.col("dst_path").alias("dest_signal"),
         domain_name(F.col("src_id"), F.col("src_edge")).alias("source_domain"), domain_name(F.col("dst_id"), F.col("dst_edge")).alias("dest_domain"),
@@ -149,7 +174,7 @@ def detect_crossings(edges: DataFrame, ffs: DataFrame, sources: DataFrame, relat
 
 def unsafe_clock_rows(ffs: DataFrame, unsafe_sources: DataFrame) -> DataFrame:
     """A violation for each register on a clock that unsafe logic drives (Ac_cdc05)."""
-    rows = ffs.join(small(unsafe_sources.select("source_id")), "source_id", "left_semi")
+    rows = ffs.join(unsafe_sources.select("source_id"), "source_id", "left_semi")
     domain, none = domain_name(F.col("source_id"), F.col("edge")), F.lit(None).cast("string")
     return rows.select(F.concat(F.lit("unsafe#"), F.col("hier_path")).alias("cid"), F.col("source_id").alias("source_signal"), F.col("hier_path").alias("dest_signal"), none.alias("source_domain"), domain.alias("dest_domain"), none.alias("relationship"), F.lit("VIOLATION").alias("category"), F.lit("high").alias("severity"), F.lit("none").alias("sync_type"), F.lit("Ac_cdc05").alias("rule"), F.lit("unsafe_clock").alias("subrule"), none.alias("waive_reason"), F.lit("clock comes from unsafe combinational logic").alias("recommendation"), F.lit(None).cast("double").alias("timing_basis_ns"))
 
@@ -261,7 +286,7 @@ def verify_handshake(rows: DataFrame) -> DataFrame:
     pairs = rows.where(synced()).where("source_domain <> dest_domain").groupBy("source_domain", "dest_domain").agg(F.bool_or(F.col("source_signal").contains("req")).alias("req"), F.bool_or(F.col("source_signal").contains("ack")).alias("ack"))
     back = pairs.select(F.col("source_domain").alias("dest_domain"), F.col("dest_domain").alias("source_domain"), F.col("req").alias("req_back"), F.col("ack").alias("ack_back"))
     good = pairs.join(back, ["source_domain", "dest_domain"]).where("(req AND ack_back) OR (ack AND req_back)").select("source_domain", "dest_domain", F.lit(True).alias("shakes"))
-    out = rows.join(small(good), ["source_domain", "dest_domain"], "left")
+    out = rows.join(good, ["source_domain", "dest_domain"], "left")
     return _set(out, F.coalesce(F.col("shakes") & synced(), F.lit(False)), recommendation="handshake synchronizer", sync_type="handshake").select(*CROSSING)
 
 
@@ -328,7 +353,7 @@ def verify_clock_as_data(rows: DataFrame, ffs: DataFrame, sources: DataFrame) ->
     """Phase 9, Ac_cdc09: a row for each register whose first such input is another clock's name."""
     clocks = sources.select(F.explode(F.array("name", "origin_signal")).alias("input")).where("input <> ''").distinct()
     own = sources.select("source_id", F.when(F.coalesce("origin_signal", F.lit("")) != "", F.col("origin_signal")).otherwise(F.col("name")).alias("own"))
-    taken = ffs.join(small(own), "source_id", "left").select("hier_path", domain_name(F.col("source_id"), F.col("edge")).alias("domain"), "own", F.posexplode("fanin").alias("pos", "input")).where("own IS NULL OR input <> own").join(small(clocks), "input", "left_semi")
+    taken = ffs.join(own, "source_id", "left").select("hier_path", domain_name(F.col("source_id"), F.col("edge")).alias("domain"), "own", F.posexplode("fanin").alias("pos", "input")).where("own IS NULL OR input <> own").join(clocks, "input", "left_semi")
     first = taken.groupBy("hier_path", "domain").agg(F.min_by("input", "pos").alias("input"))
     none = F.lit(None).cast("string")
     add = first.select(F.concat_ws("#", F.lit("clock"), "input", "hier_path").alias("cid"), F.col("input").alias("source_signal"), F.col("hier_path").alias("dest_signal"), none.alias("source_domain"), F.col("domain").alias("dest_domain"), none.alias("relationship"), F.lit("CAUTION").alias("category"), F.lit("medium").alias("severity"), F.lit("none").alias("sync_type"), F.lit("Ac_cdc09").alias("rule"), F.lit("").alias("subrule"), none.alias("waive_reason"), F.lit("clock is used as data").alias("recommendation"), F.lit(None).cast("double").alias("timing_basis_ns"))

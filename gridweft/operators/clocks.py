@@ -51,16 +51,31 @@ def dividers(ffs: DataFrame, used: DataFrame) -> DataFrame:
     return _sources(rows.select("hier_path", "source_id"), "hier_path", "Generated", "source_id", 2)
 
 
-def mark_gated(nets: DataFrame, instances: DataFrame) -> DataFrame:
-    """Nets within cells named like clock gates, or with such a cell in their path, are gated.
-
-    Every ancestor of a net is looked up by equality, so that no pair of net and cell is made.
+def mark_gated(nets: DataFrame, instances: DataFrame, pins: DataFrame, sources: DataFrame) -> DataFrame:
+    """Clock nets (hier_path, source_id, is_gated, gate_enable) with those behind cells named like clock gates.
+
+    pins has instance_path, port_name, parent_path and actual, the signal at each pin. A gate's
+    output is bound to a pin named clk...out, q, gclk, clk_out or eclk, its enable to one with en in
+    its name; of several the last by name counts. Nets one of whose path's names is the output's
+    signal are gated and get the enable; the output itself becomes a net, of the source that the
+    gate's clock input names. Names meet by equality, so that no pair of net and gate is made.
     """
-    cells = instances.where(names.is_clock_gate(F.col("module")) | names.is_clock_gate(F.col("name"))).select(F.col("path").alias("cell"))
-    parts = F.split("hier_path", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
-    hit = nets.select("hier_path", F.explode(above).alias("cell")).join(cells, "cell", "left_semi").select("hier_path", F.lit(True).alias("hit")).distinct()
-    return nets.join(hit, "hier_path", "left").withColumn("is_gated", F.col("is_gated") | F.coalesce("hit", F.lit(False))).drop("hit")
+    cells = instances.where(names.is_clock_gate(F.col("module"))).select(F.col("path").alias("instance_path"))
+    port = F.lower("port_name")
+    named = port.contains("clk") | port.contains("ck")
+    out = (named & port.contains("out")) | port.isin(*names.GATE_OUTPUTS)
+    clock = named & ~port.contains("out") & ~port.isin(*names.GATE_OUTPUTS)
+    last = lambda when: F.max_by("actual", F.when(when, F.col("port_name")))
+    found = pins.where("actual IS NOT NULL AND actual <> ''").join(cells, "instance_path", "left_semi").groupBy("instance_path", "parent_path").agg(last(out).alias("output"), last(port.contains("en")).alias("enable"), F.min_by("actual", F.when(clock, F.col("port_name"))).alias("input"), F.count_if(out).alias("n_out"))
+    gates = cut(found.where("n_out > 0"))
+    enables = gates.groupBy(F.col("output").alias("part")).agg(F.max_by("enable", "instance_path").alias("enable"))
+    parts = nets.select("hier_path", F.explode(F.array_distinct(F.split("hier_path", r"\."))).alias("part"))
+    hit = parts.join(enables, "part").groupBy("hier_path").agg(F.max_by("enable", "part").alias("enable"), F.lit(True).alias("hit"))
+    enable = F.when(F.col("hit"), F.col("enable")).otherwise(F.col("gate_enable") if "gate_enable" in nets.columns else F.lit(None).cast("string"))
+    marked = nets.join(hit, "hier_path", "left").select("hier_path", "source_id", (F.col("is_gated") | F.coalesce("hit", F.lit(False))).alias("is_gated"), enable.alias("gate_enable"))
+    keys = sources.select("source_id", F.explode(F.array_distinct(F.array("name", "origin_signal"))).alias("input")).groupBy("input").agg(F.min("source_id").alias("source_id"))
+    new = gates.join(keys, "input", "left").select(names.full_path(F.col("parent_path"), F.col("output")).alias("hier_path"), "source_id", F.lit(True).alias("is_gated"), F.col("enable").alias("gate_enable"))
+    return marked.unionByName(new)
 
 
 def unsafe_clocks(sources: DataFrame, assigns: DataFrame, safe_outputs: DataFrame) -> DataFrame:

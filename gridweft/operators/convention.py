@@ -88,6 +88,14 @@ def missing_d_suffix(signals: DataFrame) -> DataFrame:
     return base("_q").where("has_comb").select("scope_path", "base").distinct().join(base("_d").select("scope_path", "base"), ["scope_path", "base"], "left_anti")
 
 
+def style_issues(observations: DataFrame) -> DataFrame:
+    """Observations of style (kind, scope_path, name, detail, line, col) as informational issues."""
+    none = F.lit(None).cast("string")
+    port = F.when(F.coalesce("name", F.lit("")) == "", F.lit("<no-name>")).otherwise(F.col("name"))
+    place = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
+    return observations.select(F.lit("CONVENTION").alias("type"), F.lit("INFO").alias("severity"), F.col("scope_path").alias("instance"), port.alias("port"), none.alias("source"), none.alias("dest"), "detail", "kind", place("line"), place("col"))
+
+
 def reachable_modules(instantiates: DataFrame, top: str) -> DataFrame:
     """Modules that top instantiates, itself included, with their distance."""
     edges = instantiates.select(F.col("parent").alias("src"), F.col("child").alias("dst"))

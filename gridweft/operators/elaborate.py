@@ -88,7 +88,7 @@ def net_aliases(assigned: DataFrame) -> DataFrame:
 def registers(statements: DataFrame, instances: DataFrame) -> DataFrame:
     """Registers with their clock's name and net; their source is found by ``clock_domains``."""
     scope = F.col("path")
-    return _of(statements, "register", instances).select(names.full_path(scope, F.col("name")).alias("hier_path"), F.coalesce("edge", F.lit("pos")).alias("edge"), F.coalesce("width", F.lit(1)).alias("width"), F.col("refs").alias("fanin"), F.when(F.col("reset").isNotNull(), names.full_path(scope, F.col("reset"))).alias("reset_path"), F.col("reset").isNotNull().alias("reset_async"), "clock", names.full_path(scope, F.col("clock")).alias("clock_net"), "seq")
+    return _of(statements, "register", instances).select(names.full_path(scope, F.col("name")).alias("hier_path"), F.coalesce("edge", F.lit("pos")).alias("edge"), F.coalesce("width", F.lit(1)).alias("width"), F.col("refs").alias("fanin"), F.when(F.col("reset").isNotNull(), names.full_path(scope, F.col("reset"))).alias("reset_path"), F.col("reset").isNotNull().alias("reset_async"), "clock", names.full_path(scope, F.col("clock")).alias("clock_net"), F.col("module").alias("primitive"), "seq")
 
 
 def port_map(statements: DataFrame, instances: DataFrame, found: DataFrame) -> DataFrame:

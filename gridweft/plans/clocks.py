@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridweft.operators import cdc
 from gridweft.operators import clocks as k
 from gridweft.plans.registry import query, t
 
@@ -25,9 +26,37 @@ def plls(spark, d):
     return k.pll_clocks(_instances(spark, d), ports).select("source_id")
 
 
-@query("k8_gated_nets", "SELECT DISTINCT 'n' || s_nationkey || '.s' || s_suppkey || '.p' || l_partkey AS hier_path, l_partkey % 50 = 0 OR s_suppkey % 4 = 1 AS is_gated FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+@query(
+    "k8_gated_nets",
+    """WITH net AS (SELECT DISTINCT s_nationkey AS n, s_suppkey AS s, l_partkey AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+gate AS (SELECT s_suppkey AS g, s_nationkey AS n, s_suppkey * 3 AS o, CASE WHEN s_suppkey % 3 = 0 THEN 'en' || s_suppkey END AS enable FROM supplier WHERE s_suppkey % 4 = 1),
+driven AS (SELECT o, arg_max(coalesce(enable, ''), 'n' || n || '.s' || g) AS enable FROM gate GROUP BY o)
+SELECT 'n' || n || '.s' || s || '.p' || p AS hier_path, p % 50 = 0 OR driven.o IS NOT NULL AS is_gated, nullif(enable, '') AS gate_enable, NULL::VARCHAR AS source_id FROM net LEFT JOIN driven ON driven.o = p
+UNION ALL SELECT 'n' || n || '.p' || o, true, enable, CASE WHEN g % 2 = 1 THEN 'k' || g END FROM gate""",
+)
 def gates(spark, d):
-    return k.mark_gated(_nets(spark, d), _instances(spark, d)).select("hier_path", "is_gated")
+    """Each supplier is a cell whose pins carry its own clock, an enable for some, and the net of a part."""
+    s = t(spark, d, "supplier")
+    path, parent = F.expr("concat('n', s_nationkey, '.s', s_suppkey)"), F.expr("concat('n', s_nationkey)")
+    pins = F.explode(F.expr("filter(array(struct('clk_in' AS port_name, concat('c', s_suppkey) AS actual), struct('GCLK' AS port_name, concat('p', s_suppkey * 3) AS actual), struct('en_i' AS port_name, CASE WHEN s_suppkey % 3 = 0 THEN concat('en', s_suppkey) END AS actual)), x -> x.actual IS NOT NULL)"))
+    rows = s.select(path.alias("instance_path"), parent.alias("parent_path"), pins.alias("p")).select("instance_path", "parent_path", "p.*")
+    sources = s.where("s_suppkey % 2 = 1").select(F.expr("concat('k', s_suppkey)").alias("source_id"), F.expr("concat('c', s_suppkey)").alias("name"), F.lit("").alias("origin_signal"))
+    nets = _nets(spark, d).withColumn("source_id", F.lit(None).cast("string"))
+    return k.mark_gated(nets, _instances(spark, d), rows, sources).select("hier_path", "is_gated", "gate_enable", "source_id")
+
+
+@query(
+    "k1_constraint_sources",
+    """WITH p AS (SELECT 'sdc_c' || c_custkey AS source_id, 'c' || c_custkey AS name, 'pin' || c_custkey AS origin_signal, c_custkey::DOUBLE AS period_ns FROM customer),
+g AS (SELECT 'sdc_gen_g' || s_suppkey AS source_id, 'g' || s_suppkey AS name, CASE s_suppkey % 3 WHEN 0 THEN 'c' || (s_suppkey // 2) WHEN 1 THEN 'pin' || s_suppkey ELSE 'g' || (s_suppkey // 2) END AS src, s_suppkey AS k FROM supplier)
+SELECT source_id, name, 'Primary' AS type, NULL::VARCHAR AS master_id, period_ns FROM p UNION ALL
+SELECT g.source_id, g.name, 'Generated', coalesce(p.source_id, o.source_id), NULL FROM g LEFT JOIN p ON g.src IN (p.name, p.origin_signal) LEFT JOIN g o ON o.name = g.src AND o.k < g.k""",
+)
+def constraints(spark, d):
+    primary = t(spark, d, "customer").select(F.expr("concat('c', c_custkey)").alias("name"), F.col("c_custkey").cast("double").alias("period_ns"), F.expr("concat('pin', c_custkey)").alias("target"), F.col("c_custkey").alias("seq"))
+    source = F.expr("CASE s_suppkey % 3 WHEN 0 THEN concat('c', s_suppkey div 2) WHEN 1 THEN concat('pin', s_suppkey) ELSE concat('g', s_suppkey div 2) END")
+    made = t(spark, d, "supplier").select(F.expr("concat('g', s_suppkey)").alias("name"), source.alias("source"), F.expr("concat('out', s_suppkey)").alias("target"), F.lit(2).alias("divide_by"), F.lit(1).alias("multiply_by"), F.lit(False).alias("invert"), F.col("s_suppkey").alias("seq"))
+    return cdc.constraint_sources(primary, made).select("source_id", "name", "type", "master_id", "period_ns")
 
 
 @query("k5_sensitivity_clocks", "SELECT DISTINCT 'u' || user_id || '.' || s AS name FROM (SELECT user_id, CASE event_id % 4 WHEN 0 THEN 'sys_clk' WHEN 1 THEN 'clk_rst' WHEN 2 THEN 'block' ELSE 'ck' || (event_id % 3) END AS s FROM events) WHERE s = 'sys_clk' AND user_id % 7 <> 0")

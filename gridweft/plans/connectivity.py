@@ -236,6 +236,19 @@ def topology(spark, d):
     return _topology(spark, d)
 
 
+@query(
+    "j24_upstream_names",
+    f"""WITH {PORTS}, i AS (SELECT *, o_orderkey % 4 AS f FROM ports WHERE direction = 'In' AND NOT is_top AND NOT (port_name LIKE '%clk%' OR port_name LIKE '%rst%'))
+SELECT CASE f WHEN 0 THEN 'clock' ELSE 'reset' END AS kind, 'g' || o_orderkey || '.' || CASE f WHEN 0 THEN 'o_clock' ELSE 'o_reset' END AS net, instance_path FROM i WHERE f IN (0, 2)""",
+)
+def upstream(spark, d):
+    """Inputs with plain names take the kind of the port that drives them; those of clocks and resets are left out."""
+    ports = order_ports(spark, d).where("NOT (port_name LIKE '%clk%' OR port_name LIKE '%rst%')")
+    port = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'o_clock' ELSE 'o_reset' END")
+    feeds = ports.where("o_orderkey % 4 IN (0, 2)").select(port.alias("source_port"), F.concat(F.expr("concat('g', o_orderkey)"), F.lit("."), port).alias("source_path"), F.col("full_path").alias("dest_path"))
+    return c.clock_reset_topology(ports, feeds)
+
+
 @query("a8_clock_without_reset", f"{_TOPOLOGY} SELECT DISTINCT instance_path FROM topo WHERE kind = 'clock' AND instance_path NOT IN (SELECT instance_path FROM topo WHERE kind = 'reset')")
 def no_reset(spark, d):
     return c.clocks_without_reset(_topology(spark, d))

@@ -48,6 +48,28 @@ def detect(spark, d):
     return _detected(spark, d).select("source_signal", "dest_signal", "source_domain", "dest_domain", "category", "severity", "waive_reason", "relationship")
 
 
+_CLOCKS = {"a": "clk_a", "b": "b", "c": "clk_c", "d": "ckd_"}
+
+
+@query(
+    "x_ladder",
+    """SELECT 'i' || event_id AS cell, CASE event_id % 6 WHEN 0 THEN 'INFO' WHEN 2 THEN 'INFO' WHEN 3 THEN 'INFO' WHEN 1 THEN 'VIOLATION' ELSE 'CAUTION' END AS category,
+CASE event_id % 6 WHEN 1 THEN 'high' WHEN 4 THEN 'medium' WHEN 5 THEN 'medium' ELSE 'info' END AS severity, CASE event_id % 6 WHEN 0 THEN 'two_ff' WHEN 2 THEN 'handshake' ELSE 'none' END AS sync_type,
+CASE event_id % 6 WHEN 3 THEN 'LogicallyExclusive' WHEN 4 THEN 'Divided' WHEN 5 THEN 'SameSource' ELSE 'inferred_asynchronous' END AS relationship, CASE event_id % 6 WHEN 3 THEN 'ckd_' WHEN 4 THEN '' WHEN 5 THEN '' ELSE 'b' END AS odd_names FROM events""",
+)
+def ladder(spark, d):
+    """Each event is a cell with two registers: known cells, exclusive, divided and the same clock, and none of these."""
+    kind = F.col("event_id") % 6
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (kind + 1).cast("int"))
+    e = t(spark, d, "events").select(F.expr("concat('i', event_id)").alias("cell"), F.col("event_id").cast("int").alias("seq"), pick("regA", "regA", "src_req_q", "x", "x", "x").alias("from"), pick("regB", "regB", "dst_req_q", "y", "y", "y").alias("to"), pick("SyncReg", "my_syncreg", "ISOCHRONOUS_4phase_handshake", "m", "m", "m").alias("primitive"), pick("a", "a", "a", "c", "a", "a").alias("from_clk"), pick("b", "b", "b", "d", "c", "a").alias("to_clk"), F.when(kind == 5, "neg").otherwise("pos").alias("to_edge"))
+    path = lambda c: F.concat_ws(".", "cell", c)
+    ffs = e.select(path("from").alias("hier_path"), F.col("from_clk").alias("source_id"), F.lit("pos").alias("edge"), "primitive").unionAll(e.select(path("to"), "to_clk", "to_edge", "primitive"))
+    sources = spark.createDataFrame([(k, n, n, None, 1.0) for k, n in _CLOCKS.items()], "source_id string, name string, origin_signal string, master_id string, period_ns double")
+    relations = spark.createDataFrame([("c", "d", "LogicallyExclusive", False, 0), ("a", "c", "Divided", False, 1)], "a_id string, b_id string, relationship string, sdc_declared boolean, seq int")
+    found = cdc.detect_crossings(e.select(path("from").alias("src_path"), path("to").alias("dst_path"), "seq"), ffs, sources, relations, spark.createDataFrame([], "from_clk string, to_clk string"), spark.createDataFrame([], "source_id string"))
+    return found.select(F.substring_index("source_signal", ".", 1).alias("cell"), "category", "severity", "sync_type", "relationship", F.regexp_extract("recommendation", "ck: (.*)$", 1).alias("odd_names"))
+
+
 @query("x11_timing_basis", f"{_HEAD} SELECT src_path AS source_signal, dst_path AS dest_signal, length(dst_dom)::DOUBLE AS timing_basis_ns FROM cx")
 def timing(spark, d):
     return _detected(spark, d).select("source_signal", "dest_signal", "timing_basis_ns")
@@ -133,7 +155,18 @@ def clock_data(spark, d):
     return cdc.verify_clock_as_data(none, registers(spark, d), clocks).select("source_signal", "dest_signal", "rule")
 
 
-@query("v_all_phases")
+_PHASES = """v4 AS (SELECT x.* EXCLUDE (category, severity, rule, hit), CASE WHEN hit THEN 'CAUTION' ELSE category END AS category, CASE WHEN hit THEN 'Ac_cdc04' ELSE rule END AS rule, regexp_replace(src_path, '[0-9]+$', '') AS prefix
+  FROM (SELECT v3.*, sync_type <> 'none' AND rule <> 'Ac_cdc02' AND width >= 2 AND NOT regexp_matches(src_path, 'req|ack') AS hit FROM v3 JOIN ffs ON ffs.hier_path = src_path) x),
+v5 AS (SELECT v4.* EXCLUDE (sync_type), CASE WHEN sync_type <> 'none' AND count(*) FILTER (sync_type <> 'none') OVER (PARTITION BY source_domain, dest_domain, prefix) >= 3 THEN 'gray_code' ELSE sync_type END AS sync_type FROM v4),
+both_ways AS (SELECT source_domain AS s, dest_domain AS t, bool_or(contains(src_path, 'req')) AS r, bool_or(contains(src_path, 'ack')) AS k FROM v5 WHERE sync_type IN ('two_ff', 'three_ff') GROUP BY ALL),
+shakes AS (SELECT a.s, a.t FROM both_ways a JOIN both_ways b ON a.s = b.t AND a.t = b.s WHERE (a.r AND b.k) OR (a.k AND b.r)),
+v7 AS (SELECT v5.* EXCLUDE (sync_type), CASE WHEN shakes.s IS NOT NULL AND sync_type IN ('two_ff', 'three_ff') THEN 'handshake' ELSE sync_type END AS sync_type FROM v5 LEFT JOIN shakes ON shakes.s = source_domain AND shakes.t = dest_domain),
+wraps AS (SELECT DISTINCT prefix FROM v7 JOIN ffs ON hier_path = src_path WHERE sync_type = 'gray_code' AND list_contains(fanin, 'depth')),
+v12 AS (SELECT src_path, sync_type, CASE WHEN sync_type = 'gray_code' AND wraps.prefix IS NOT NULL THEN 'CAUTION' ELSE category END AS category, CASE WHEN sync_type = 'gray_code' AND wraps.prefix IS NOT NULL THEN 'Ac_cdc07' ELSE rule END AS rule FROM v7 LEFT JOIN wraps USING (prefix)),
+v15 AS (SELECT rule, category, sync_type FROM v12 UNION ALL SELECT 'Ac_cdc12', 'INFO', sync_type FROM v12 JOIN ffs ON hier_path = src_path WHERE contains(src_path, 'cfg_') OR len(fanin) = 0)"""
+
+
+@query("v_all_phases", f"{_HEAD}, {_CHAIN}, {_PHASES} SELECT rule, category, sync_type, count(*) AS n FROM v15 GROUP BY ALL")
 def all_phases(spark, d):
     found = cdc.verify(_detected(spark, d), registers(spark, d), register_edges(spark, d), clock_table(spark, d))
     return found.groupBy("rule", "category", "sync_type").agg(F.count(F.lit(1)).alias("n"))

@@ -105,6 +105,23 @@ def root_list(spark, d):
     return metrics.root_list(order_ports(spark, d), t(spark, d, "customer").select(F.expr("concat('r', c_custkey)").alias("name"), F.expr("concat('d', c_custkey)").alias("d_signal")))
 
 
+@query("f5_root_selection", f"WITH {PORTS} SELECT port_name AS root_id, 'output' AS root_kind, 'outputs' AS which FROM ports WHERE is_top AND direction = 'Out' UNION ALL SELECT 'r' || c_custkey, 'ff_d', 'ffd' FROM customer")
+def root_selection(spark, d):
+    regs = t(spark, d, "customer").select(F.expr("concat('r', c_custkey)").alias("name"), F.expr("concat('d', c_custkey)").alias("d_signal"))
+    pick = lambda which: metrics.root_list(order_ports(spark, d), regs, which).select("root_id", "root_kind", F.lit(which).alias("which"))
+    return pick("outputs").unionByName(pick("ffd"))
+
+
+@query("j18_sliced_drivers", "SELECT 'w' || p_partkey AS signal, s AS node_id FROM part, (VALUES (0), (1)) v(s) WHERE s = 0 OR p_size % 3 <> 0")
+def sliced(spark, d):
+    """Two slices drive a part's word, of which some have a driver of their own name as well."""
+    p = t(spark, d, "part")
+    name = F.expr("concat('w', p_partkey)")
+    node = lambda out, k: p.select(F.lit(k).cast("int").alias("node_id"), out.alias("output"), F.array(F.lit("x")).alias("inputs"), "p_size")
+    nodes = node(F.concat(name, F.lit("[3:0]")), 0).unionAll(node(F.concat(name, F.lit("[7:4]")), 1)).where("p_size % 3 <> 0").unionAll(node(name, 0).where("p_size % 3 = 0")).unionAll(node(F.concat(name, F.lit("[1]")), 7).where("p_size % 3 = 0"))
+    return metrics.driver_edges(nodes).where("signal NOT LIKE '%[%'").select("signal", "node_id")
+
+
 @query("f3_glob_and_f4_star", "SELECT c_name, c_name LIKE '%#000%' || (c_custkey % 7) || '_' AS globbed, starts_with(c_name, 'Customer#0000000' || (c_custkey % 3)) AS starred FROM customer")
 def globs(spark, d):
     c = t(spark, d, "customer")

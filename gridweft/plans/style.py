@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridweft.operators import convention as v
 from gridweft.plans.facts import PORTS, order_ports
 from gridweft.plans.registry import query, t
-from gridweft.sources.facts import parse_connections
+from gridweft.sources.facts import parse_connections, parse_roots
 
 RULES = v.Rules(clock_pattern="i_clk_.*", reset_pattern="i_rst_n_.*", active_low_suffix="1", lowercase_port_names=True, reject_digit_suffix=True, output_suffixes=["5"], output_prefix="q_", input_prefix="i_d")
 
@@ -56,6 +56,26 @@ def source_lines(spark, d):
     return v.check_lines(v.lines_of(texts), v.Rules(max_line_length=100, prohibit_tabs=True, prohibit_trailing_blanks=True))
 
 
+@query("c18_style_observations", "SELECT 'CONVENTION' AS type, 'INFO' AS severity, 'u' || user_id AS instance, CASE WHEN event_id % 4 = 0 THEN '<no-name>' ELSE 'n' || event_id END AS port, event_type AS detail, (event_id % 50)::INT AS line FROM events")
+def observations(spark, d):
+    e = t(spark, d, "events")
+    rows = e.select(F.lit("x").alias("kind"), F.expr("concat('u', user_id)").alias("scope_path"), F.when(F.col("event_id") % 4 != 0, F.expr("concat('n', event_id)")).otherwise("").alias("name"), F.col("event_type").alias("detail"), (F.col("event_id") % 50).cast("int").alias("line"), F.lit(1).alias("col"))
+    return v.style_issues(rows).select("type", "severity", "instance", "port", "detail", F.coalesce("line", F.lit(0)).alias("line"))
+
+
+@query("c14_inout_names", "SELECT 'p' || p_partkey AS name FROM part WHERE p_size % 3 = 0 AND p_partkey % 10 <> 7")
+def inout_names(spark, d):
+    ports = t(spark, d, "part").select(F.lit("top").alias("instance_path"), F.expr("concat('p', p_partkey)").alias("port_name"), F.expr("CASE WHEN p_size % 3 = 0 THEN 'InOut' ELSE 'In' END").alias("direction"))
+    return v.check_ports(ports, v.Rules(input_prefix="", output_prefix="", inout_suffixes=["7"])).select("name")
+
+
+@query("s21_baseline_roots", "SELECT 'r' || event_id AS root_id, event_type AS root_kind, (event_id % 100)::INT AS raw, (event_id % 7)::INT AS depth, (event_id % 30)::INT AS norm FROM events")
+def baseline_roots(spark, d):
+    number = lambda n: (F.col("event_id") % n).cast("int")
+    roots = F.array(F.struct(F.expr("concat('r', event_id)").alias("root_id"), F.col("event_type").alias("root_kind"), number(100).alias("raw"), number(7).alias("depth"), number(30).alias("norm")))
+    return parse_roots(t(spark, d, "events").select(F.to_json(F.struct(roots.alias("roots"))).alias("value")))
+
+
 @query("c31_files", "WITH f AS (SELECT s_nationkey::VARCHAR || '/' || (min(s_suppkey))::VARCHAR || '.sv' AS file, count(*) AS n, min(s_suppkey)::VARCHAR AS m FROM supplier GROUP BY s_nationkey, s_suppkey % 2) SELECT 'multiple_modules' AS rule, file, n FROM f WHERE n > 1")
 def files(spark, d):
     s = t(spark, d, "supplier").withColumn("half", F.col("s_suppkey") % 2)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.functions import names
@@ -34,22 +34,110 @@ def write_connection_csv(status: DataFrame, path: str) -> None:
     status.select(line.alias("line")).write.mode("overwrite").text(path)
 
 
-def connection_report(status: DataFrame, issues: DataFrame, health: DataFrame, topn: int = 100) -> str:
-    """Counts, the overall score and the worst modules as JSON."""
+#: Lines of one part of a document; parts follow each other in blocks of this many numbers.
+_PART = 1 << 40
+
+
+def document_lines(spark: SparkSession, parts: list[str | tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(seq, line) of a JSON document of texts and lists, in order.
+
+    A list is (rows, order): one line for each row, whole, as the executors write it; whatever the
+    number of rows, none come to the driver.
+    """
+    texts = [(k * _PART, x) for k, x in enumerate(parts) if isinstance(x, str)]
+    out = spark.createDataFrame(texts, "seq long, line string")
+    for k, part in enumerate(parts):
+        if not isinstance(part, str):
+            rows, order = part
+            value = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+            lines = ranked(rows.withColumn("_json", value), order).select((F.col("rank") + k * _PART).alias("seq"), F.concat(F.when(F.col("rank") > 1, ",").otherwise(" "), F.col("_json")).alias("line"))
+            out = out.unionAll(lines)
+    return out.select("seq", F.regexp_replace("line", "<", "\\\\u003c").alias("line"))
+
+
+def _port_of(issues: DataFrame) -> Column:
+    return names.full_path(F.col("instance"), F.col("port"))
+
+
+def connection_report_lines(top: str, status: DataFrame, issues: DataFrame, waived: DataFrame, health: DataFrame, pairs: DataFrame, risks: DataFrame, ports: DataFrame) -> DataFrame:
+    """The whole connectivity report: counts, every issue, module, coupling, risk and connection.
+
+    ``read_baseline(..., lines=True)`` reads the connections back.
+    """
+    spark = status.sparkSession
     n = status.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    counts = issues.agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("ERROR", "WARN", "INFO")]).first().asDict()
+    counts = issues.agg(*[F.count_if(F.col("severity") == s).alias(k) for s, k in (("ERROR", "errors"), ("WARN", "warnings"), ("INFO", "info"))]).first().asDict()
+    extra = [c for c in ("line", "col") if c in issues.columns]
+    listed = issues.select("type", "severity", _port_of(issues).alias("port"), "source", "dest", "detail", *extra)
     score = health.agg(F.coalesce(F.avg("score"), F.lit(1.0)).alias("s")).first()["s"]
-    worst = [r.asDict() | {"score": round(r["score"], 2)} for r in health.limit(topn).collect()]
-    return json.dumps({"summary": {"connections_analyzed": n, **counts}, "analysis": {"total_connections": n, "overall_score": round(score, 2), "modules": worst}}, indent=2)
+    summary = {"connections_analyzed": n, **counts, "waived": waived.count()}
+    analysis = {"overall_score": round(score, 2), "total_ports": ports.count(), "total_connections": n, "total_issues": sum(counts.values())}
+    modules = health.select(F.col("instance_path").alias("instance"), names.short_name(F.col("instance_path")).alias("name"), F.col("n_ports").alias("total_ports"), F.col("n_connected").alias("connected"), F.col("n_error").alias("errors"), F.col("n_warn").alias("warnings"), F.round("score", 2).alias("score"))
+    coupled = pairs.select(F.col("source_instance").alias("source"), F.col("dest_instance").alias("dest"), F.col("n_links").alias("connections"))
+    risky = risks.select("level", "type", _port_of(risks).alias("port"), F.col("detail").alias("reason"))
+    ended = status.select(names.port_range(F.col("source_path"), F.col("source_width")).alias("source"), names.port_range(F.col("dest_path"), F.col("dest_width")).alias("dest"), "status")
+    head = json.dumps({"version": "1.0", "top": top, "summary": summary})[:-1]
+    return document_lines(
+        spark,
+        [f'{head}, "issues": [', (listed, ["type", "port", "source", "dest", "detail"]), f'], "analysis": {json.dumps(analysis)[:-1]}, "module_health": [', (modules, ["score", "instance"]), '], "coupling": [', (coupled, ["source", "dest"]), '], "risks": [', (risky, ["level", "type", "port", "reason"]), ']}, "connections": [', (ended, ["source", "dest", "status"]), "]}"],
+    )
 
 
-def crossing_report(rows: DataFrame) -> str:
+def crossing_report_lines(rows: DataFrame, domains: DataFrame) -> DataFrame:
+    """The whole crossing report: counts, domains (name, source) and every crossing (with its id)."""
     counts = {r["category"]: r["n"] for r in rows.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return json.dumps({"summary": {c.lower(): counts.get(c, 0) for c in ("VIOLATION", "CAUTION", "INFO", "WAIVED", "CONVENTION")}}, indent=2)
+    summary = {k: counts.get(c, 0) for c, k in (("VIOLATION", "violations"), ("CAUTION", "cautions"), ("CONVENTION", "conventions"), ("INFO", "info"), ("WAIVED", "waived"))}
+    listed = rows.select("id", F.col("source_signal").alias("source"), F.col("dest_signal").alias("dest"), "source_domain", "dest_domain", F.array("source_signal", "dest_signal").alias("path"), "category", "severity", "sync_type", "rule", "recommendation", "relationship", "waive_reason", "timing_basis_ns")
+    return document_lines(rows.sparkSession, [f'{{"summary": {json.dumps(summary)}, "domains": [', (domains.select("name", "source").distinct(), ["name", "source"]), '], "crossings": [', (listed, ["source", "dest", "id"]), "]}"])
+
 
+def metrics_report_lines(totals: DataFrame, roots: DataFrame, groups: DataFrame | None = None, cone: DataFrame | None = None, diff: DataFrame | None = None) -> DataFrame:
+    """The whole metrics report: totals and every root; on request groups, cone details and a baseline's diff."""
+    parts: list = [f'{{"totals": {json.dumps(totals.first().asDict())}, "roots": [', (roots, ["root_kind", "root_id"])]
+    for name, rows, order in (("groups", groups, ["signature"]), ("cone_detail", cone, ["root_kind", "root_id", "depth", "node_id"]), ("baseline_diff", diff, ["root_kind", "root_id"])):
+        if rows is not None:
+            parts += [f'], "{name}": [', (rows, order)]
+    return document_lines(roots.sparkSession, [*parts, "]}"])
 
-def metrics_report(totals: DataFrame, shown: DataFrame, topn: int = 1000) -> str:
-    return json.dumps({"totals": totals.first().asDict(), "roots": [r.asDict() for r in shown.limit(topn).collect()]}, indent=2)
+
+def combined_summary(top: str, folder: str, exits: dict[str, int], files: list[str], filelists: list[str], formats: dict[str, str]) -> str:
+    """The summary of a run of all three modes (exits of conn, cdc and metrics)."""
+    status = {f"{m}_status": "ok" if exits[m] == 0 else "issues" for m in MODES}
+    paths = {m: f"{folder}/{m}" for m in MODES}
+    reports = {"connect_report": f"{folder}/conn/connect_report.json", "cdc_report": f"{folder}/cdc/cdc_report.json", "metrics_report": f"{folder}/metrics/metrics_report.json"}
+    head = {"mode": "all", "top": top, **{f"{m}_format": f for m, f in formats.items()}, "used_filelist": bool(filelists)}
+    return json.dumps(head | {f"{m}_exit_code": exits[m] for m in MODES} | {"exit_code": max(exits.values()), "source_file_count": len(files)} | status | {"filelists": filelists, "source_files": files, "outputs": paths, "reports": reports}, indent=2)
+
+
+def interface_lines(interfaces: DataFrame) -> DataFrame:
+    """A line for each interface that ``connect.classify_interfaces`` finds."""
+    text = F.format_string("  %-16s: %s %s (%d signals, prefix: %s)", names.short_name(F.col("instance_path")), F.col("protocol"), F.col("role"), F.size("matched"), F.col("prefix"))
+    return ranked(interfaces, ["instance_path", "protocol"], name="seq").select("seq", text.alias("line"))
+
+
+def diff_lines(diff: DataFrame) -> DataFrame:
+    """Added, removed and changed connections, then their numbers."""
+    change, ends = F.col("change"), F.format_string("%s -> %s", "source", "dest")
+    text = F.when(change == "added", F.format_string("  + added:   %s  [%s]", ends, F.col("new_status"))).when(change == "removed", F.format_string("  - removed: %s  [was: %s]", ends, F.col("old_status"))).otherwise(F.format_string("  ~ changed: %s  status: %s -> %s", ends, F.col("old_status"), F.col("new_status")))
+    order = F.when(change == "added", 0).when(change == "removed", 1).otherwise(2)
+    body = ranked(diff.withColumn("_k", order), ["_k", "source", "dest", "old_status", "new_status"], name="seq").select("seq", text.alias("line"))
+    total = diff.agg(*[F.count_if(change == c).alias(c) for c in ("added", "removed", "changed")])
+    none = (F.col("added") + F.col("removed") + F.col("changed")) == 0
+    return body.unionAll(total.select(F.lit(_PART).alias("seq"), F.when(none, "no connectivity changes").otherwise(F.format_string("  total: +%d -%d ~%d", "added", "removed", "changed")).alias("line")))
+
+
+def topology_lines(topology: DataFrame, bare: DataFrame) -> DataFrame:
+    """Instances by clock and by reset net (a line for each), then instances with a clock and no reset (bare)."""
+    leaf = names.short_name(F.col("instance_path"))
+    nets = ranked(topology.distinct(), ["kind", "net", "instance_path"], name="seq").select("seq", F.format_string("%s %s -> %s", "kind", "net", leaf).alias("line"))
+    lone = ranked(bare.select("instance_path"), ["instance_path"], name="seq").select((F.col("seq") + _PART).alias("seq"), F.format_string("warning: %s (%s) has a clock and no reset", F.col("instance_path"), leaf).alias("line"))
+    return nets.unionAll(lone)
+
+
+def trace_lines(hops: DataFrame) -> DataFrame:
+    """The links of ``connect.trace``, indented by their depth."""
+    text = F.concat(F.expr("repeat('  ', depth + 1)"), F.col("source_path"), F.lit(" -> "), F.col("dest_path"))
+    return ranked(hops, ["depth", "source_path", "dest_path"], name="seq").select("seq", text.alias("line"))
 
 
 def markdown_lines(rows: DataFrame, title: str) -> DataFrame:
@@ -145,8 +233,13 @@ def waiver_template(rows: DataFrame) -> DataFrame:
     return bad.select(F.col("k").cast("int").alias("seq"), entry.alias("line"))
 
 
+MODES = ("conn", "cdc", "metrics")
+
+
 def exit_code(mode: str, counts: dict[str, int], strict: bool = False, regressions: int = 0, fail_on_regression: bool = False) -> int:
-    """Issues up to 255; violations (with cautions if strict) up to 255; 2 for a regression that must fail."""
+    """Issues up to 255; violations (with cautions if strict) up to 255; 2 for a regression that must fail; "all" is the greatest."""
+    if mode == "all":
+        return max(exit_code(m, counts, strict, regressions, fail_on_regression) for m in MODES)
     if mode == "conn":
         return min(255, counts.get("issues", 0))
     if mode == "cdc":

@@ -15,7 +15,7 @@ SCHEMAS = {
     "clock_sources": "source_id string, name string, type string, origin_signal string, master_id string, period_ns double, divide_by int, multiply_by int, invert boolean, unsafe_comb boolean, seq int",
     "clock_nets": "hier_path string, source_id string, edge string, is_gated boolean, gate_enable string",
     "relationships": "a_id string, b_id string, relationship string, sdc_declared boolean, seq int",
-    "ffs": "hier_path string, source_id string, edge string, width int, fanin array<string>, reset_path string, reset_async boolean, seq int",
+    "ffs": "hier_path string, source_id string, edge string, primitive string, width int, fanin array<string>, reset_path string, reset_async boolean, seq int",
     "ff_edges": "src_path string, dst_path string, has_comb boolean, seq int",
     "transform_nodes": "node_id long, op_kind string, op_detail string, output string, inputs array<string>, bit_width int, approximate boolean",
     "roots": "root_id string, root_kind string, signal string",
@@ -51,6 +51,13 @@ def parse_roots(reports: DataFrame) -> DataFrame:
     return reports.select(F.explode(F.from_json("value", METRICS_REPORT)["roots"]).alias("r")).select("r.*")
 
 
-def read_baseline(spark: SparkSession, path: str, kind: str = "connections") -> DataFrame:
-    rows = spark.read.text(path, wholetext=True)
+def read_baseline(spark: SparkSession, path: str, kind: str = "connections", lines: bool = False) -> DataFrame:
+    """Connections or roots of a report; with lines, of one that ``sinks.reports`` wrote, a row on each line."""
+    if lines:
+        # only rows of the wanted list have these as their first columns
+        first = '^[ ,]\\{"source":.*"status":' if kind == "connections" else '^[ ,]\\{"root_kind":|^[ ,]\\{"root_id":'
+        one = F.concat(F.lit(f'{{"{kind}":['), F.expr("substr(value, 2)"), F.lit("]}"))
+        rows = spark.read.text(path).where(F.col("value").rlike(first)).select(one.alias("value"))
+    else:
+        rows = spark.read.text(path, wholetext=True)
     return parse_connections(rows) if kind == "connections" else parse_roots(rows)

@@ -2,6 +2,7 @@ import json
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridweft.operators import convention, metrics
 from gridweft.plans import ORACLE_SQL, QUERIES
@@ -79,13 +80,72 @@ def test_reports(spark):
     assert lines["V-1"].startswith("set_false_path") and lines["I-1"].startswith("set_max_delay 4.0 ")
     assert "WAIVE-001" in reports.waiver_template(rows).first().line
     assert reports.sva_lines(rows).count() == 1
-    assert json.loads(reports.crossing_report(rows))["summary"]["violation"] == 1
     assert reports.json_lines(spark.createDataFrame([("a<b",)], "x string")).first().line == '{"x":"a\\u003cb"}'
-    assert reports.exit_code("cdc", {"violation": 300}) == 255
+    assert reports.exit_code("cdc", {"violation": 300}) == 255 and reports.exit_code("all", {"issues": 3, "violation": 7}) == 7
     base = spark.createDataFrame([('{"connections":[{"source":"a.p[7:0]","dest":"b.q"},{"source":"","dest":"x"}]}',)], "value string")
     assert [(r.source, r.status) for r in facts.parse_connections(base).collect()] == [("a.p", "OK")]
 
 
+def whole(lines):
+    return json.loads("\n".join(r.line for r in lines.orderBy("seq").collect()))
+
+
+def test_whole_reports(spark, tmp_path):
+    """Reports hold every row, are valid JSON and are read back as baselines."""
+    from gridweft.operators import cdc, connect
+
+    rows = [(f"a.o{k}", f"b.i{k}", "a", f"o{k}", "b", f"i{k}", 8, 8 - k % 2, False, False, "Direct") for k in range(1500)]
+    links = spark.createDataFrame(rows, "source_path string, dest_path string, source_instance string, source_port string, dest_instance string, dest_port string, source_width int, dest_width int, source_signed boolean, dest_signed boolean, kind string")
+    ports = links.select(F.col("source_instance").alias("instance_path"), F.col("source_path").alias("full_path"), F.lit(False).alias("is_top")).unionAll(links.select("dest_instance", "dest_path", F.lit(False)))
+    issues = connect.run_checks([connect.check_width(links)])
+    status = connect.connection_status(links, issues)
+    health = connect.module_health(ports, links, issues)
+    lines = reports.connection_report_lines("top", status, issues, issues.limit(0), health, connect.coupling(links), connect.risks(issues), ports)
+    found = whole(lines)
+    assert found["summary"] == {"connections_analyzed": 1500, "errors": 750, "warnings": 0, "info": 0, "waived": 0}
+    assert len(found["connections"]) == 1500 and len(found["issues"]) == 750 and len(found["analysis"]["risks"]) == 750
+    assert [m["instance"] for m in found["analysis"]["module_health"]] == ["b", "a"] and found["analysis"]["coupling"] == [{"source": "a", "dest": "b", "connections": 1500}]
+    reports.write_lines(lines, str(tmp_path / "report"))
+    back = facts.read_baseline(spark, str(tmp_path / "report"), lines=True)
+    assert sorted(tuple(r) for r in back.select("source", "dest", "status").collect()) == sorted((r[0], r[1], "WIDTH_MISMATCH" if k % 2 else "OK") for k, r in enumerate(rows))
+    now = status.select(F.col("source_path").alias("source"), F.col("dest_path").alias("dest"), "status", F.lit(0).alias("seq"))
+    assert [r.line for r in reports.diff_lines(connect.diff_connections(back, now)).collect()] == ["no connectivity changes"]
+    text = [r.line for r in reports.diff_lines(connect.diff_connections(back.where("source <> 'a.o1'"), now.where("source <> 'a.o2'"))).orderBy("seq").collect()]
+    assert text == ["  + added:   a.o1 -> b.i1  [WIDTH_MISMATCH]", "  - removed: a.o2 -> b.i2  [was: OK]", "  total: +1 -1 ~0"]
+    assert [r.line for r in reports.trace_lines(connect.trace(links.where("source_path = 'a.o7'"), "a.*")).collect()] == ["  a.o7 -> b.i7"]
+
+    roots = spark.createDataFrame([(f"r{k}", "ff_d", k, 1, k) for k in range(1200)], "root_id string, root_kind string, raw int, depth int, norm int")
+    lines = reports.metrics_report_lines(metrics.totals(roots), roots, diff=metrics.diff_metrics(roots, roots))
+    found = whole(lines)
+    assert len(found["roots"]) == len(found["baseline_diff"]) == 1200
+    reports.write_lines(lines, str(tmp_path / "metrics"))
+    assert sorted(map(tuple, facts.read_baseline(spark, str(tmp_path / "metrics"), "roots", lines=True).where("raw IS NOT NULL").collect())) == sorted(map(tuple, roots.collect()))
+
+    crossings = spark.createDataFrame([(f"x{k}", f"m.q{k}", f"m.r{k}", "a:pos", "b:pos", "async", "VIOLATION", "high", "none", "Ac_cdc01", "", "", None, None, "none") for k in range(30)], "cid string, source_signal string, dest_signal string, source_domain string, dest_domain string, relationship string, category string, severity string, sync_type string, rule string, subrule string, recommendation string, waive_reason string, timing_basis_ns double, note string")
+    found = whole(reports.crossing_report_lines(cdc.numbered(crossings), spark.createDataFrame([("a:pos", "a"), ("b:pos", "b")], "name string, source string")))
+    assert found["summary"]["violations"] == 30 and {c["id"] for c in found["crossings"]} == {f"VIOLATION-{k}" for k in range(1, 31)} and len(found["domains"]) == 2
+    summary = json.loads(reports.combined_summary("top", "/out", {"conn": 3, "cdc": 0, "metrics": 2}, ["a.sv"], [], {"conn": "json", "cdc": "json"}))
+    assert summary["exit_code"] == 3 and summary["cdc_status"] == "ok" and summary["source_file_count"] == 1
+    topology = spark.createDataFrame([("clock", "clk", "t.u"), ("reset", "rst", "t.u"), ("clock", "clk", "t.v")], "kind string, net string, instance_path string")
+    assert [r.line for r in reports.topology_lines(topology, connect.clocks_without_reset(topology)).orderBy("seq").collect()] == ["clock clk -> u", "clock clk -> v", "reset rst -> u", "warning: t.v (v) has a clock and no reset"]
+    faces = spark.createDataFrame([("t.u", "APB", "master", "m_", ["m_psel", "m_pwrite"])], "instance_path string, protocol string, role string, prefix string, matched array<string>")
+    assert reports.interface_lines(faces).first().line == "  u               : APB master (2 signals, prefix: m_)"
+
+
+def test_orders(spark):
+    """Operators that promise an order keep it."""
+    from gridweft.operators import connect
+
+    schema = "root_id string, root_kind string, raw long"
+    rows = [("c", "output", 5), ("a", "ff_d", 5), ("b", "ff_d", 9), ("d", "output", 1)]
+    top = metrics.top_roots(spark.createDataFrame(rows, schema).repartition(4), 3).collect()
+    assert [(r.root_kind, r.root_id) for r in top] == [("ff_d", "a"), ("ff_d", "b"), ("output", "c")]
+    links = spark.createDataFrame([("b", "a"), ("a", "b"), ("a", "b"), ("c", "a"), ("a", "a")], "source_instance string, dest_instance string").repartition(4)
+    assert [(r.source_instance, r.n_links) for r in connect.coupling(links).collect()] == [("a", 2), ("b", 1), ("c", 1)]
+    issues = spark.createDataFrame([("DANGLING_OUTPUT", "WARN", "x", "p", None, None, ""), ("PROTOCOL_INCOMPLETE", "WARN", "y", None, None, None, ""), ("TYPE_MISMATCH", "ERROR", "z", "p", "s", "t", "")], "type string, severity string, instance string, port string, source string, dest string, detail string").repartition(3)
+    assert [r.level for r in connect.risks(issues).collect()] == ["HIGH", "MEDIUM", "LOW"]
+
+
 def test_stream_diff(spark, tmp_path):
     from gridweft.streaming.diff import stream_diff
 
