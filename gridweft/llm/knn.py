@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import stored, table
+from gridweft.llm.textkit import tidy
 
 TOP = 5
 SCALE = 256
@@ -59,7 +60,7 @@ def in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
             radius = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), *(batch.column(c) for c in ("row", "vec_id", "v")), pa.array(radius)], names=["cell", "row", "vec_id", "v", "radius"])
 
-    return vectors.select("row", "vec_id", "v").mapInArrow(run, "cell long, row long, vec_id long, v array<long>, radius double")
+    return vectors.select("row", "vec_id", "v").mapInArrow(tidy(run), "cell long, row long, vec_id long, v array<long>, radius double")
 
 
 def needed_cells(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, known: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
@@ -88,7 +89,7 @@ def needed_cells(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, radi
                 take = pa.array(i)
                 yield pa.RecordBatch.from_arrays([pa.array(cells[j].astype(np.int64)), *(part.column(c).take(take) for c in ("row", "vec_id", "v"))], names=["cell", "row", "vec_id", "v"])
 
-    return queries.select("row", "vec_id", "v").mapInArrow(run, "cell long, row long, vec_id long, v array<long>")
+    return queries.select("row", "vec_id", "v").mapInArrow(tidy(run), "cell long, row long, vec_id long, v array<long>")
 
 
 def _best(rows: np.ndarray, q: np.ndarray, data: tuple[np.ndarray, ...], k: int) -> pa.RecordBatch:
@@ -137,7 +138,7 @@ def local_top(work: DataFrame, width: int, k: int) -> DataFrame:
 
     n = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["cell", "part", "side", "vec_id", "row"]
-    return work.repartition(n, "cell", "part").sortWithinPartitions(*order).mapInArrow(run, "query long, row long, vec_id long, score long")
+    return work.repartition(n, "cell", "part").sortWithinPartitions(*order).mapInArrow(tidy(run), "query long, row long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, n_pivots: int | None = None) -> DataFrame:

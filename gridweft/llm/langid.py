@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, fold, held_out, table
-from gridweft.llm.textkit import CHUNK, U64, chunks
+from gridweft.llm.textkit import CHUNK, U64, chunks, tidy
 
 #: Character n-grams of these lengths, each hashed to ``BUCKETS`` features.
 ORDERS = (1, 2, 3)
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, per_language: int = 5000, smoothing: float = 0.5) -> Mo
             i, j = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["lang", "feature", "n"])
 
-        found = sample.mapInArrow(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+        found = sample.mapInArrow(tidy(count), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
         counts[found["feature"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
     weights = np.zeros((len(languages), width + 1), dtype=np.float32)
     for k in range(len(ORDERS)):
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best[a + some], posterior[a + some] = p.argmax(axis=1), p.max(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([languages[i] for i in best.tolist()], pa.string()), pa.array(posterior)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(tidy(score), "doc_id long, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, stored, table
 from gridweft.llm.graph import components
-from gridweft.llm.textkit import LOWER, U64, Rolling, chunks, mix, ragged, words
+from gridweft.llm.textkit import LOWER, U64, Rolling, chunks, mix, ragged, tidy, words
 
 #: Registers of a sketch and how many of them a band takes. At a similarity of 0.8 a pair shares
 #: no band with probability (1 - 0.8**4)**32 = 5e-8.
@@ -132,7 +132,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 s1, s2 = set_signature(sets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("print").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), _binary(sketch(sets))], names=["doc_id", "print", "n", "s1", "s2", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_print().alias("print"), clear_text().alias("text")).mapInArrow(run, "doc_id long, print long, n long, s1 long, s2 long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), text_print().alias("print"), clear_text().alias("text")).mapInArrow(tidy(run), "doc_id long, print long, n long, s1 long, s2 long, registers binary")
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def band_keys(reps: DataFrame) -> DataFrame:
             rep = np.repeat(np.asarray(batch.column("rep")), x.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(rep)], names=["key", "rep"])
 
-    return reps.select("rep", "registers").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "registers").mapInArrow(tidy(run), "key long, rep long")
 
 
 def estimated(pairs: DataFrame, least: float) -> DataFrame:
@@ -159,7 +159,7 @@ def estimated(pairs: DataFrame, least: float) -> DataFrame:
             nx, ny = (np.asarray(batch.column(c), dtype=float) for c in ("na", "nb"))
             yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y, nx, ny) >= least))
 
-    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _set(raw: bytes) -> np.ndarray:
@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(linked(common, len(x), len(y), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -195,7 +195,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long"), text_print().alias("print"), clear_text().alias("text"))
-    return texts.join(wanted, ["doc_id", "print"]).select("rep", "text").mapInArrow(run, "rep long, shingles binary")
+    return texts.join(wanted, ["doc_id", "print"]).select("rep", "text").mapInArrow(tidy(run), "rep long, shingles binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -267,7 +267,7 @@ def promising(rows: DataFrame, least: float) -> DataFrame:
             if keep.any():
                 yield from piece.filter(pa.array(keep)).select([*_PIECE, "side", "rep", "component"]).to_batches()
 
-    return dealt(rows).mapInArrow(run, _PIECE_TYPE)
+    return dealt(rows).mapInArrow(tidy(run), _PIECE_TYPE)
 
 
 def cross_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -298,7 +298,7 @@ def cross_links(rows: DataFrame, percent: int) -> DataFrame:
                 x = np.array(found, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    return dealt(rows).mapInArrow(run, "a long, b long")
+    return dealt(rows).mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

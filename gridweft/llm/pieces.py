@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, table
-from gridweft.llm.textkit import ragged
+from gridweft.llm.textkit import ragged, tidy
 from gridweft.llm.tokens import text_groups, vocabulary_path
 
 MARK = "▁".encode()
@@ -22,6 +22,8 @@ MARK = "▁".encode()
 PLAIN_MARK = b"\xf8\xf9\xfa"
 #: Bytes of distinct words that one lattice holds.
 LATTICE_BYTES = 1 << 18
+#: Bytes of text that are encoded together.
+PIECES_BYTES = 1 << 21
 N_BEST = 4
 #: How far below the worst piece a byte scores.
 BYTE_PENALTY = 10.0
@@ -325,7 +327,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, n: int = N_BEST,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, n)
         for batch in batches:
-            for group in text_groups(batch):
+            for group in text_groups(batch, PIECES_BYTES):
                 texts = group.column("text").cast(pa.large_string())
                 out, offsets, best = encoder.encode(texts)
                 raw = memoryview(out.astype("<u4")).cast("B")
@@ -340,7 +342,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, n: int = N_BEST,
                 yield pa.RecordBatch.from_arrays([*columns, *(group.column(c) for c in keep)], names=[*names, *keep])
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, best_scores array<double>, round_trip boolean" + ", ids array<int>" * ids + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text"), *keep).mapInArrow(tidy(run), schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, fold, held_out, stored, table
-from gridweft.llm.textkit import LOWER, SEPARATOR, Rolling, chunks, words
+from gridweft.llm.textkit import LOWER, SEPARATOR, Rolling, chunks, tidy, words
 
 THRESHOLD = 0.3
 #: Standard deviations at which features are cut, and the ridge of the fit.
@@ -182,7 +182,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
                 x = features(raw, offsets).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, WIDTH), pa.int32()), pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(tidy(run), "doc_id long, x array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -210,9 +210,9 @@ def summed(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]
                 total += np.frombuffer(x.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    out = rows.select("x", "positive").mapInArrow(first, "sums binary")
+    out = rows.select("x", "positive").mapInArrow(tidy(first), "sums binary")
     for ways in (WAYS * WAYS, WAYS):
-        out = out.repartition(ways, F.xxhash64("sums")).mapInArrow(again, "sums binary")
+        out = out.repartition(ways, F.xxhash64("sums")).mapInArrow(tidy(again), "sums binary")
     return sum((np.frombuffer(r["sums"]) for r in out.collect()), np.zeros(size))
 
 
@@ -278,8 +278,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: boo
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     if keep:
-        return docs.select(*columns).mapInArrow(run, schema)
-    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(run, schema)
+        return docs.select(*columns).mapInArrow(tidy(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(tidy(run), schema)
 
 
 def taught(df: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def scored(rows: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             s = model.score(_matrix(batch.column("x")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.select("doc_id", "x").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, stored, table
-from gridweft.llm.textkit import U64, Rolling, chunks, mix, ragged
+from gridweft.llm.textkit import U64, Rolling, chunks, mix, ragged, tidy
 
 LENGTH = 100
 GRAM = 32
+#: Bytes of a chunk: of a passage that recurs everywhere, one row a chunk is shuffled.
+REPEATS_CHUNK = 1 << 21
 #: Strings of a block, the pieces of the second round.
 BLOCK = 12
 #: Rows of null doc_id come after all others: the last id, and a bit that no other row number has.
@@ -124,11 +126,11 @@ def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = (batch.column(c).to_numpy() for c in ("id", "row"))
-            for a, _, raw, offsets in chunks(batch.column("text")):
+            for a, _, raw, offsets in chunks(batch.column("text"), REPEATS_CHUNK):
                 rank, context, text, lo, count, at = anchors(raw, offsets, length, gram)
                 yield piece_batch(rank, context, ids[a + text], rows[a + text], lo, count, at)
 
-    return texts.select("id", "row", "text").mapInArrow(run, PIECE)
+    return texts.select("id", "row", "text").mapInArrow(tidy(run), PIECE)
 
 
 def later(key: np.ndarray, ids: np.ndarray, numbers: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -201,7 +203,7 @@ def settled(rows: DataFrame) -> DataFrame:
                     yield from part.combine_chunks().to_batches()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "context", "id", "row", "lo").mapInArrow(run, "id long, row long, lo long, n long, at int, kind int")
+    return rows.repartition(parts, "rank").sortWithinPartitions("rank", "context", "id", "row", "lo").mapInArrow(tidy(run), "id long, row long, lo long, n long, at int, kind int")
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -209,7 +211,7 @@ def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
     for batch in batches:
         batch = batch.filter(batch.column("los").is_valid())
         ids, rows = (batch.column(c).to_numpy() for c in ("id", "row"))
-        for a, b, raw, offsets in chunks(batch.column("text")):
+        for a, b, raw, offsets in chunks(batch.column("text"), REPEATS_CHUNK):
             lists = [batch.column(c).slice(a, b - a) for c in ("los", "ns", "ats")]
             lo, n, at = (np.asarray(x.flatten(), dtype=np.int64) for x in lists)
             text = np.repeat(np.arange(b - a), np.diff(np.asarray(lists[0].offsets)))
@@ -241,7 +243,7 @@ def block_rows(texts: DataFrame, length: int) -> DataFrame:
             context = mix(rolling.slices(base + first, base + last + length) + far.astype(U64))
             yield piece_batch(mix(core + block.astype(U64)), context, ids[text[of]], rows[text[of]], first, last - first + 1, far)
 
-    return texts.select("id", "row", "text", "los", "ns", "ats").mapInArrow(run, PIECE)
+    return texts.select("id", "row", "text", "los", "ns", "ats").mapInArrow(tidy(run), PIECE)
 
 
 def single_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -254,7 +256,7 @@ def single_rows(texts: DataFrame, length: int) -> DataFrame:
             rank, context = (Rolling(x).slices(place, place + length) for x in (raw, ~raw))
             yield piece_batch(rank, context, ids[of], rows[of], place - offsets[of], np.ones(len(place), np.int64), np.zeros(len(place), np.int64))
 
-    return texts.select("id", "row", "text", "los", "ns", "ats").mapInArrow(run, PIECE)
+    return texts.select("id", "row", "text", "los", "ns", "ats").mapInArrow(tidy(run), PIECE)
 
 
 def _removed(size: int, lo: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -286,7 +288,7 @@ def trimmed(texts: DataFrame, length: int, keep_text: bool) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * keep_text
     doc_id = F.when(F.col("row") < NULL_ROW, F.col("id"))
-    return texts.select(doc_id.alias("doc_id"), "text", "los", "ns").mapInArrow(run, schema)
+    return texts.select(doc_id.alias("doc_id"), "text", "los", "ns").mapInArrow(tidy(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:

@@ -2,17 +2,20 @@
 
 A batch is cut into chunks of whole texts of about ``CHUNK`` bytes, so that the 8-byte arrays
 derived from each byte stay small whatever the batch holds; one text longer than that is a chunk
-of its own.
+of its own. ``tidy`` gives freed memory back to the system, as workers live on after their task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Batches that a task returns between two returns of freed memory.
+TIDY_BATCHES = 16
 U64 = np.uint64
 #: Odd multiplier of the polynomial hashes (mod 2**64) and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -54,8 +57,35 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def release() -> None:
+    """Give back what Arrow and the C library hold of freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches) -> Batches:
+    """The same work on batches, with freed memory given back now and then and at the end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for k, out in enumerate(run(batches), start=1):
+                yield out
+                if k % TIDY_BATCHES == 0:
+                    release()
+        finally:
+            release()
+
+    return wrapped
+
+
+def chunks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of pieces of whole texts of about ``limit`` bytes."""
+    limit = limit or CHUNK
     raw, offsets = text_bytes(column)
     n, at = len(offsets) - 1, 0
     while at < n:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, scratch_path, table
-from gridweft.llm.textkit import ragged
+from gridweft.llm.textkit import ragged, tidy
 
 #: Texts in which a blank follows a blank are encoded whole, all others word by word.
 BLANK_PAIR = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}][\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -176,7 +176,7 @@ def encoded(docs: DataFrame, path: str, end: int | None) -> DataFrame:
                 )
                 start += int(offsets[-1])
 
-    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(encode, "doc_id long, start_in_part long, n_tokens long, tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long"), clear_text().alias("text")).mapInArrow(tidy(encode), "doc_id long, start_in_part long, n_tokens long, tokens array<int>")
 
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None, end: int | None = 2, stripe_bytes: int = 16 << 20) -> None:
@@ -220,7 +220,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
                 names=["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"],
             )
 
-    rows = spark.read.orc(path).select(part, "doc_id", "start_in_part", "tokens").mapInArrow(digest, "part string, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
+    rows = spark.read.orc(path).select(part, "doc_id", "start_in_part", "tokens").mapInArrow(tidy(digest), "part string, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, "part").select("doc_id", (F.col("start_in_part") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import bounded_sample, fold, held_out, stored, table
-from gridweft.llm.textkit import Rolling, chunks
+from gridweft.llm.textkit import Rolling, chunks, tidy
 
 THRESHOLD = 0.5
 #: Shortest word, in characters, of which a misspelling counts.
@@ -353,7 +353,7 @@ def _sampled(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, l
                         lists[i].append(h)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int64()))], names=["toxic", "x", "near"])
 
-    rows = sample.select(F.lower("text").alias("text"), F.col("toxic").cast("int")).mapInArrow(run, "toxic int, x array<double>, near array<long>").toArrow()
+    rows = sample.select(F.lower("text").alias("text"), F.col("toxic").cast("int")).mapInArrow(tidy(run), "toxic int, x array<double>, near array<long>").toArrow()
     x = np.array(rows["x"].to_pylist(), dtype=float).reshape(-1, width)
     return x, np.array(rows["toxic"].to_pylist(), dtype=float), rows["near"].to_pylist()
 
@@ -373,7 +373,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = 1 / (1 + np.exp(-np.clip(np.concatenate([*parts, np.zeros(0)]), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

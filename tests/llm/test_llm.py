@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridweft.llm import exact, knn, langid, mixing, near, pieces, quality, repeats, textkit, tokens, toxicity
+from gridweft.llm import exact, knn, langid, mixing, near, pieces, quality, repeats, tokens, toxicity
 from gridweft.llm.common import table
 from gridweft.llm.queries import ORACLE_SQL, QUERIES
 
@@ -197,7 +197,7 @@ def test_repeats(spark, nothing, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     plain = [(k, x or "") for k, x in rows]
     for length, chunk in ((100, 1 << 21), (100, 300), (12, 1 << 21)):
-        monkeypatch.setattr(textkit.chunks, "__defaults__", (chunk,))
+        monkeypatch.setattr(repeats, "REPEATS_CHUNK", chunk)
         assert sorted(map(tuple, repeats.remove_repeats(df, length).collect())) == repeats_truth(plain, length)
     assert repeats.remove_repeats(nothing).count() == 0
 
