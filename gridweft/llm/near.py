@@ -332,14 +332,14 @@ def pivots_of(members: DataFrame) -> DataFrame:
     """(cell, rep): each bucket's most connected member as the pivot of the others.
 
     members has (key, rep). Buckets meet only partial aggregates and joins on them, so that a hot
-    one is never gathered in a task.
+    one is never gathered in a task. What grows with the buckets is merged, not broadcast.
     """
     sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    shared = stored(members.join(sizes, "key"), "buckets")
-    reach = stored(shared.groupBy("rep").agg(F.sum("size").alias("reach")), "reach")
-    ranked = stored(shared.select("key", "rep").join(reach, "rep"), "ranked")
+    shared = stored(members.join(sizes.hint("merge"), "key"), "buckets")
+    reach = shared.groupBy("rep").agg(F.sum("size").alias("reach"))  # a rep is in no more buckets than there are bands
+    ranked = stored(shared.select("key", "rep").join(reach.hint("merge"), "rep"), "ranked")
     top = stored(ranked.groupBy("key").agg(F.max(F.struct("reach", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("cell")), "tops")
-    return stored(ranked.join(top, "key").select("cell", "rep").where("cell <> rep").distinct(), "cells")
+    return stored(ranked.join(top.hint("merge"), "key").select("cell", "rep").where("cell <> rep").distinct(), "cells")
 
 
 def labelled_rows(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -380,7 +380,7 @@ def labelled_rows(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     names = stored(names, "components")
     # only sets with links need their component's smallest doc_id
     smallest = stored(names.groupBy("component").agg(F.min("doc_id").alias("least")), "smallest")
-    return rows, names.join(smallest, "component").select("n", "s1", "s2", "component", "least")
+    return rows, names.join(smallest.hint("merge"), "component").select("n", "s1", "s2", "component", "least")
 
 
 def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
