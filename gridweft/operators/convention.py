@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweft.functions import names
 from gridweft.operators.graph import reach
+from gridweft.sources.style import TEXT_RULES
 
 
 @dataclass
@@ -96,6 +97,22 @@ def style_issues(observations: DataFrame) -> DataFrame:
     return observations.select(F.lit("CONVENTION").alias("type"), F.lit("INFO").alias("severity"), F.col("scope_path").alias("instance"), port.alias("port"), none.alias("source"), none.alias("dest"), "detail", "kind", place("line"), place("col"))
 
 
+def placed_style(found: DataFrame, instances: DataFrame) -> DataFrame:
+    """Remarks of ``sources.style`` as observations of a design (kind, scope_path, name, detail, line, col).
+
+    Rules of the elaborated design hold in each instance (path, module) of their module, scope
+    labels included; those of the text are told once, with the file. Modules that the design
+    doesn't hold give none.
+    """
+    text = F.col("kind").isin(*TEXT_RULES)
+    used = instances.select("module").distinct()
+    once = found.where(text).join(used, "module", "left_semi").withColumn("scope_path", F.col("file"))
+    scope = F.concat_ws(".", "path", F.when(F.col("scope") != "", F.col("scope")))
+    each = found.where(~text).join(instances.select("path", "module"), "module").withColumn("scope_path", scope)
+    columns = ["kind", "scope_path", "name", "detail", "line", "col"]
+    return once.select(*columns).unionAll(each.select(*columns))
+
+
 def reachable_modules(instantiates: DataFrame, top: str) -> DataFrame:
     """Modules that top instantiates, itself included, with their distance."""
     edges = instantiates.select(F.col("parent").alias("src"), F.col("child").alias("dst"))

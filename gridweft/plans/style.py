@@ -8,6 +8,7 @@ from gridweft.operators import convention as v
 from gridweft.plans.facts import PORTS, order_ports
 from gridweft.plans.registry import query, t
 from gridweft.sources.facts import parse_connections, parse_roots
+from gridweft.sources.style import style_observations
 
 RULES = v.Rules(clock_pattern="i_clk_.*", reset_pattern="i_rst_n_.*", active_low_suffix="1", lowercase_port_names=True, reject_digit_suffix=True, output_suffixes=["5"], output_prefix="q_", input_prefix="i_d")
 
@@ -105,3 +106,39 @@ def baseline(spark, d):
     e = t(spark, d, "events")
     value = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("[7:0]")).alias("source"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("dest"), F.when(F.col("event_id") % 2 == 1, F.col("event_type")).alias("status"))).alias("connections")))
     return parse_connections(e.select(value.alias("value"))).select("source", "dest", "status")
+
+
+_SOURCE = [
+    ("'module p' || p_partkey || ' (input clk, input rst, output logic [3:0] y);'"),
+    ("CASE WHEN p_partkey % 2 = 0 THEN 'always @(posedge clk) y <= ' || p_size || ';' ELSE 'always_ff @(posedge clk) r_q <= r_d;' END"),
+    ("CASE p_partkey % 3 WHEN 0 THEN 'enum {A, B} e' || p_partkey || ';' WHEN 1 THEN 'bit [3:0] b' || p_partkey || ';' ELSE 'logic l;' END"),
+    ("CASE WHEN p_partkey % 5 = 0 THEN 'if (1) begin end' ELSE 'if (1) begin : named end' END"),
+    ("CASE WHEN p_partkey % 7 = 0 THEN 'leaf u (.*);' ELSE 'leaf u (.a(' || p_size || '));' END"),
+    ("CASE WHEN p_partkey % 4 = 0 THEN 'always_comb begin case (y) 1: z_d = 1; endcase end' ELSE 'always_comb unique case (y) 1: z_d = 1; default: z_d = 0; endcase' END"),
+    ("CASE p_partkey % 11 WHEN 0 THEN 'always_ff @(posedge clk, negedge rst_n) bare <= 1;' WHEN 1 THEN 'always_ff @(posedge clk or posedge rst) w_q <= 1;' ELSE '' END"),
+    "'endmodule'",
+]
+
+
+@query(
+    "c19_c28_style_of_sources",
+    """WITH p AS (SELECT p_partkey AS k, p_size AS s, 'i' || p_partkey AS i, 'f' || p_partkey AS f FROM part)
+SELECT 'LegacyAlwaysBlock' AS kind, i AS scope_path, '' AS name, 2 AS line FROM p WHERE k % 2 = 0
+UNION ALL SELECT 'BareIntegerLiteral', f, s::VARCHAR, 2 FROM p WHERE k % 2 = 0 AND s > 1
+UNION ALL SELECT 'AnonymousEnum', i, 'e' || k, 3 FROM p WHERE k % 3 = 0
+UNION ALL SELECT 'BannedStateType', i, 'b' || k, 3 FROM p WHERE k % 3 = 1
+UNION ALL SELECT 'UnnamedGenerateBlock', i, '', 4 FROM p WHERE k % 5 = 0
+UNION ALL SELECT 'WildcardPortConnection', f, '.*', 5 FROM p WHERE k % 7 = 0
+UNION ALL SELECT 'BareIntegerLiteral', f, s::VARCHAR, 5 FROM p WHERE k % 7 <> 0 AND s > 1
+UNION ALL SELECT unnest(['MissingUniqueCase', 'MissingCaseDefault']), i, '', 6 FROM p WHERE k % 4 = 0
+UNION ALL SELECT 'ResetPolarityBad', i, CASE WHEN k % 11 = 1 THEN 'rst' ELSE '' END, 7 FROM p WHERE k % 11 < 2
+UNION ALL SELECT 'MissingQSuffix', i, 'bare', 7 FROM p WHERE k % 11 = 0
+UNION ALL SELECT 'MissingDSuffix', i, 'r_q', 0 FROM p WHERE k % 2 = 1
+UNION ALL SELECT 'MissingDSuffix', i, 'w_q', 0 FROM p WHERE k % 11 = 1""",
+)
+def style_of_sources(spark, d):
+    """A module of each part, its source made of the part's columns."""
+    p = t(spark, d, "part")
+    texts = p.select(F.expr("concat('f', p_partkey)").alias("file"), F.expr("concat_ws('\n', " + ", ".join(_SOURCE) + ")").alias("text"))
+    instances = p.select(F.expr("concat('i', p_partkey)").alias("path"), F.expr("concat('p', p_partkey)").alias("module"))
+    return v.placed_style(style_observations(texts), instances).select("kind", "scope_path", "name", "line")
