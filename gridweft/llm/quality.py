@@ -18,6 +18,8 @@ THRESHOLD = 0.3
 CLIP, PENALTY = 8.0, 0.1
 #: Bins of the histograms that give the class prior, and the share of positives it must rest on.
 BINS, PRIOR_SHARE = 1024, 0.3
+#: Bytes of whole texts whose features are worked out together.
+FEATURE_BYTES = 1 << 18
 #: Tasks that add up what other tasks found.
 WAYS = 8
 #: Coarse byte classes; pairs of neighbours are counted as well.
@@ -178,7 +180,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, raw, offsets in chunks(batch.column("text")):
+            for a, b, raw, offsets in chunks(batch.column("text"), FEATURE_BYTES):
                 x = features(raw, offsets).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, WIDTH), pa.int32()), pa.array(x.ravel()))], names=["doc_id", "x"])
 
@@ -270,7 +272,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.score(features(raw, offsets)) for _, _, raw, offsets in chunks(batch.column("text"))]
+            parts = [model.score(features(raw, offsets)) for _, _, raw, offsets in chunks(batch.column("text"), FEATURE_BYTES)]
             s = np.concatenate([*parts, np.zeros(0)])
             if keep:
                 yield batch.filter(pa.array(s >= threshold))
