@@ -21,9 +21,9 @@ MARK = "▁".encode()
 #: Stands for a mark that the text itself holds: bytes that no UTF-8 text has, one for each of its.
 PLAIN_MARK = b"\xf8\xf9\xfa"
 #: Bytes of distinct words that one lattice holds.
-LATTICE_BYTES = 1 << 18
+LATTICE_BYTES = 1 << 16
 #: Bytes of text that are encoded together.
-PIECES_BYTES = 1 << 21
+PIECES_BYTES = 1 << 19
 N_BEST = 4
 #: How far below the worst piece a byte scores.
 BYTE_PENALTY = 10.0
