@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _strings(array: pa.Array) -> list[str]:
+    """The same as to_pylist without an Arrow scalar for each string."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Byte-level BPE with one library call for each distinct word.
 
@@ -88,18 +93,19 @@ class Encoder:
             out[k] = x
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Give each word that isn't known yet a place in the pool."""
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        found = self.word_ids(new)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        starts = len(self.pool) + np.cumsum(counts) - counts
-        known.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))])
-        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the pool has each of these words, which all differ; new ones are given a place."""
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            listed = [words[k] for k in new.tolist()]
+            found = self.word_ids(listed)
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            place[new] = np.arange(len(self.starts), len(self.starts) + len(new))
+            self.known.update(zip(listed, place[new].tolist(), strict=True))
+            self.starts, self.counts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts]), np.concatenate([self.counts, counts])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))])
+        return place
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of the texts in them)."""
@@ -119,12 +125,11 @@ class Encoder:
         split = np.asarray(pc.and_(pc.less(pc.binary_length(cores), pc.binary_length(listed)), pc.match_substring_regex(cores, r"[\p{L}\p{N}]$")))
         words = pc.if_else(pa.array(split), cores, listed).dictionary_encode()
         tails = pc.struct_field(pc.extract_regex(listed.filter(pa.array(split)), f"(?P<tail>[{re.escape(SIGNS)}]+)$"), "tail").cast(pa.large_string()).dictionary_encode()
-        word_list, tail_list = words.dictionary.to_pylist(), tails.dictionary.to_pylist()
-        self.learn([*word_list, *tail_list])
-        get = self.known.__getitem__
-        place = np.fromiter(map(get, word_list), np.int64, len(word_list))[np.asarray(words.indices)]
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        place = self.places(_strings(words.dictionary))[np.asarray(words.indices)]
         tail = np.full(len(listed), -1, dtype=np.int64)
-        tail[split] = np.fromiter(map(get, tail_list), np.int64, len(tail_list))[np.asarray(tails.indices)]
+        tail[split] = self.places(_strings(tails.dictionary))[np.asarray(tails.indices)]
         # ids of each distinct part in a row, then those of whole texts and the end
         extra = self.ids(texts.filter(pa.array(whole)).to_pylist()) + ([[end]] if end is not None else [])
         tail_count = np.where(tail >= 0, self.counts[tail], 0)
