@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm.common import clear_text, table
-from gridweft.llm.textkit import ragged, tidy
+from gridweft.llm.textkit import ragged, text_bytes, tidy
 from gridweft.llm.tokens import text_groups, vocabulary_path
 
 MARK = "▁".encode()
@@ -127,15 +127,15 @@ class Pieces:
 class Lattice:
     """Viterbi scores of a batch of words in both directions, vectorised across the words."""
 
-    def __init__(self, pieces: Pieces, words: list[bytes]):
+    def __init__(self, pieces: Pieces, words: list[bytes] | tuple[np.ndarray, np.ndarray]):
+        """words: a list of them, or the bytes of all in a row and the size of each."""
         self.pieces = pieces
-        size = np.array([len(w) for w in words], dtype=np.int64)
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        raw, size = words if isinstance(words, tuple) else (np.frombuffer(b"".join(words), dtype=np.uint8), np.array([len(w) for w in words], dtype=np.int64))
         # word w has len + 1 nodes from node[w]
         byte_at = np.cumsum(size) - size
-        self.first = byte_at + np.arange(len(words))
+        self.first = byte_at + np.arange(len(size))
         self.last = self.first + size
-        word_of = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        word_of = np.repeat(np.arange(len(size), dtype=np.int32), size)
         s, e, self.piece = pieces.edges(raw, word_of)
         self.word = word_of[s]
         offset = (s - byte_at[self.word]).astype(np.int32)
@@ -144,7 +144,7 @@ class Lattice:
         del order
         self.start, self.end = s + self.word, e + self.word
         self.weight = pieces.score[self.piece]
-        n = len(raw) + len(words)
+        n = len(raw) + len(size)
         self.forward = np.full(n, -np.inf)
         self.forward[self.first] = 0
         cuts = np.flatnonzero(np.diff(offset)) + 1 if len(offset) else np.zeros(0, int)
@@ -183,43 +183,60 @@ class Lattice:
         np.maximum.at(second, self.word[rest], self.forward[self.start[rest]] + self.weight[rest] + self.backward[self.end[rest]])
         return ids, count, score, score - second
 
+    @cached_property
+    def incoming(self) -> tuple[np.ndarray, np.ndarray]:
+        """(edges in order of their ends, where those of each node begin)."""
+        order = np.argsort(self.end, kind="stable")
+        return order, np.searchsorted(self.end[order], np.arange(len(self.forward) + 1))
+
+    def n_best(self, word: int, n: int) -> list[tuple[float, list[int]]]:
+        """The n best segmentations of a word by A* from its end.
+
+        Forward Viterbi scores are the exact cost of the way that is left, so that hypotheses leave
+        the queue in the order of their full scores and the first n that reach the start are the n
+        best; of equal scores the one nearest to the start goes first. Hypotheses stand for disjoint
+        sets of segmentations, each with one of its score, so that a queue of as many as are still
+        wanted is enough. Paths share their tails: memory grows with n times the length.
+        """
+        order, into = self.incoming
+        first, last = int(self.first[word]), int(self.last[word])
+        queue: list[tuple[float, int, int, float, tuple | None]] = [(-float(self.forward[last]), last, 0, 0.0, None)]
+        out: list[tuple[float, list[int]]] = []
+        made = 0
+        while queue and len(out) < n:
+            total, node, _, tail, path = queue.pop(0)
+            if node == first:
+                ids = []
+                while path is not None:
+                    piece, path = path
+                    ids.append(piece)
+                out.append((-total, ids))
+                continue
+            edges = order[into[node] : into[node + 1]]
+            start = self.start[edges]
+            tails = self.weight[edges] + tail
+            full = self.forward[start] + tails
+            wanted = n - len(out)
+            bound = -queue[wanted - 1][0] if len(queue) >= wanted else -np.inf
+            for k in np.flatnonzero((full > bound) if bound > -np.inf else np.isfinite(full)).tolist():
+                made += 1
+                insort(queue, (-float(full[k]), int(start[k]), made, float(tails[k]), (int(self.piece[edges[k]]), path)))
+            del queue[wanted:]
+        return out
+
 
 def n_best(pieces: Pieces, word: bytes, n: int) -> list[tuple[float, list[int]]]:
-    """The n best segmentations of a word by A* from its end.
+    """The n best segmentations of a word with their scores, best first."""
+    return Lattice(pieces, [word]).n_best(0, n)
 
-    Forward Viterbi scores are the exact cost of the way that is left, so that hypotheses leave
-    the queue in the order of their full scores and the first n that reach the start are the n
-    best; of equal scores the one nearest to the start goes first. Hypotheses stand for disjoint
-    sets of segmentations, each with one of its score, so that a queue of as many as are still
-    wanted is enough. Paths share their tails: memory grows with n times the length.
-    """
-    lattice = Lattice(pieces, [word])
-    order = np.argsort(lattice.end, kind="stable")
-    into = np.searchsorted(lattice.end[order], np.arange(len(lattice.forward) + 1))
-    first, last = int(lattice.first[0]), int(lattice.last[0])
-    queue: list[tuple[float, int, int, float, tuple | None]] = [(-float(lattice.forward[last]), last, 0, 0.0, None)]
-    out: list[tuple[float, list[int]]] = []
-    made = 0
-    while queue and len(out) < n:
-        total, node, _, tail, path = queue.pop(0)
-        if node == first:
-            ids = []
-            while path is not None:
-                piece, path = path
-                ids.append(piece)
-            out.append((-total, ids))
-            continue
-        edges = order[into[node] : into[node + 1]]
-        start = lattice.start[edges]
-        tails = lattice.weight[edges] + tail
-        full = lattice.forward[start] + tails
-        wanted = n - len(out)
-        bound = -queue[wanted - 1][0] if len(queue) >= wanted else -np.inf
-        for k in np.flatnonzero((full > bound) if bound > -np.inf else np.isfinite(full)).tolist():
-            made += 1
-            insort(queue, (-float(full[k]), int(start[k]), made, float(tails[k]), (int(lattice.piece[edges[k]]), path)))
-        del queue[wanted:]
-    return out
+
+def portions(place: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of words that one lattice holds; place: where each word begins, and the end."""
+    at = 0
+    while at < len(place) - 1:
+        end = max(at + 1, int(np.searchsorted(place, place[at] + LATTICE_BYTES, side="right")) - 1)
+        yield at, end
+        at = end
 
 
 def combined(base: float, lists: list[list[float]], n: int) -> list[float]:
@@ -235,12 +252,16 @@ class Encoder:
         self.pieces, self.n = Pieces(path), n
         self.cache: dict[bytes, list[float]] = {}
 
-    def alternatives(self, word: bytes) -> list[float]:
-        if word not in self.cache:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = [s for s, _ in n_best(self.pieces, word, self.n)]
-        return self.cache[word]
+    def learn(self, words: list[bytes]) -> None:
+        """Keep the scores of the n best segmentations of each word, searched in lattices of many words."""
+        if len(self.cache) >= CACHE_WORDS:
+            self.cache.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.cache]
+        place = np.cumsum([0, *map(len, new)])
+        for at, end in portions(place):
+            lattice = Lattice(self.pieces, new[at:end])
+            for k, w in enumerate(new[at:end]):
+                self.cache[w] = [s for s, _ in lattice.n_best(k, self.n)]
 
     def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(words with their leading marks, first word of each text).
@@ -269,20 +290,15 @@ class Encoder:
         """(ids of all texts, offsets of the texts in them, scores of each text's n best)."""
         flat, text_first = self.words(texts.cast(pa.large_string()).fill_null(""))
         coded = flat.dictionary_encode()
-        words = [escape(w) for w in coded.dictionary.to_pylist()]
+        raw, place = text_bytes(escaped(coded.dictionary))
+        word = lambda k: raw[place[k] : place[k + 1]].tobytes()
         ids, counts, scores, gaps = [], [], [], []
-        at = 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) <= LATTICE_BYTES):
-                size += len(words[end])
-                end += 1
-            i, c, s, g = Lattice(self.pieces, words[at:end]).best()
+        for at, end in portions(place):
+            i, c, s, g = Lattice(self.pieces, (raw[place[at] : place[end]], np.diff(place[at : end + 1]))).best()
             ids.append(i)
             counts.append(c)
             scores.append(s)
             gaps.append(g)
-            at = end
         pool = np.concatenate([*ids, np.zeros(0, np.int32)])
         count, score, gap = (np.concatenate([*x, np.zeros(0)]) for x in (counts, scores, gaps))
         count = count.astype(np.int64)
@@ -296,18 +312,21 @@ class Encoder:
         # only the n - 1 words that lose least can be other than their best
         text_of = np.repeat(np.arange(len(texts)), np.diff(text_first))
         order = np.lexsort((gap[index], text_of))
-        best = []
+        chosen = []
         for k in range(len(texts)):
-            least = order[text_first[k] : min(text_first[k] + self.n - 1, text_first[k + 1])]
-            chosen = [index[w] for w in least if np.isfinite(gap[index[w]])]
-            best.append(combined(float(base[k]), [self.alternatives(words[w]) for w in chosen], self.n))
+            least = index[order[text_first[k] : min(text_first[k] + self.n - 1, text_first[k + 1])]]
+            chosen.append([word(w) for w in least[np.isfinite(gap[least])]])
+        self.learn([w for some in chosen for w in some])
+        best = [combined(float(b), [self.cache[w] for w in some], self.n) for b, some in zip(base, chosen, strict=True)]
         return out, offsets, best
 
 
-def escape(word: str) -> bytes:
-    """A word as the lattice sees it: leading blanks as marks, marks of the text as plain bytes."""
-    blanks = len(word) - len(word.lstrip(" "))
-    return MARK * blanks + word[blanks:].encode().replace(MARK, PLAIN_MARK)
+def escaped(words: pa.Array) -> pa.Array:
+    """Words as the lattice sees them: blanks, which only lead, as marks; marks of the text as plain bytes."""
+    raw = words.cast(pa.large_binary())
+    if pc.any(pc.match_substring(raw, MARK)).as_py():
+        raw = pc.replace_substring(raw, MARK, PLAIN_MARK)
+    return pc.replace_substring(raw, b" ", MARK)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, n: int = N_BEST, ids: bool = False, keep: Sequence[str] = ()) -> DataFrame:
